@@ -15,6 +15,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op6_lexicon_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.lexicon import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op8_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.packing import pack_documents
 
@@ -22,7 +28,7 @@ def op8_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_best_two_fit_packing": op8_best_two_fit_packing}
+    return {"op6_lexicon_transducer_bpe": op6_lexicon_transducer_bpe, "op8_best_two_fit_packing": op8_best_two_fit_packing}
 
 
 def oracle_sql() -> dict[str, str]:
