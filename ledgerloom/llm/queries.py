@@ -15,6 +15,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.audio import audio_features, store_audio
+
+    return audio_features(store_audio(table(spark, sf_dir, "documents")), with_tensors=False)
+
+
 def op6_lexicon_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.lexicon import encode_documents
 
@@ -28,7 +34,7 @@ def op8_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_lexicon_transducer_bpe": op6_lexicon_transducer_bpe, "op8_best_two_fit_packing": op8_best_two_fit_packing}
+    return {"op4_audio_features": op4_audio_features, "op6_lexicon_transducer_bpe": op6_lexicon_transducer_bpe, "op8_best_two_fit_packing": op8_best_two_fit_packing}
 
 
 def oracle_sql() -> dict[str, str]:
