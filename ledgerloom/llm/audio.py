@@ -68,7 +68,7 @@ def store_audio(docs: DataFrame) -> DataFrame:
             media = [wav_bytes(x + bytes(-len(x) % PAD if x else PAD)) for x in raw]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "UTF-8").alias("payload"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("payload"))
     return rows.mapInArrow(store, "doc_id long, n_bytes long, media binary")
 
 

@@ -15,6 +15,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.audio import audio_features, store_audio
 
@@ -34,7 +40,7 @@ def op8_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_audio_features": op4_audio_features, "op6_lexicon_transducer_bpe": op6_lexicon_transducer_bpe, "op8_best_two_fit_packing": op8_best_two_fit_packing}
+    return {"op1_language_id": op1_language_id, "op4_audio_features": op4_audio_features, "op6_lexicon_transducer_bpe": op6_lexicon_transducer_bpe, "op8_best_two_fit_packing": op8_best_two_fit_packing}
 
 
 def oracle_sql() -> dict[str, str]:
