@@ -39,8 +39,14 @@ def op8_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.jaccard import Spec, jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"), Spec(k=4, num=85, den=100)).documents
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op4_audio_features": op4_audio_features, "op6_lexicon_transducer_bpe": op6_lexicon_transducer_bpe, "op8_best_two_fit_packing": op8_best_two_fit_packing}
+    return {"op1_language_id": op1_language_id, "op4_audio_features": op4_audio_features, "op6_lexicon_transducer_bpe": op6_lexicon_transducer_bpe, "op8_best_two_fit_packing": op8_best_two_fit_packing, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
