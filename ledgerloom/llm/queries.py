@@ -33,6 +33,13 @@ def op6_lexicon_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_ngram_ratio_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.quality import quality
+
+    judged = quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+
+
 def op8_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.packing import pack_documents
 
@@ -46,7 +53,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op4_audio_features": op4_audio_features, "op6_lexicon_transducer_bpe": op6_lexicon_transducer_bpe, "op8_best_two_fit_packing": op8_best_two_fit_packing, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
+    return {"op1_language_id": op1_language_id, "op4_audio_features": op4_audio_features, "op6_lexicon_transducer_bpe": op6_lexicon_transducer_bpe, "op7_ngram_ratio_quality": op7_ngram_ratio_quality, "op8_best_two_fit_packing": op8_best_two_fit_packing, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
