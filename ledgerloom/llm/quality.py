@@ -2,7 +2,7 @@
 
 Two multinomials over hashed word 1- and 2-grams are counted over whole tables: one from the trusted documents (those
 labelled of good quality), one from all documents. A text's score is the sum over its n-grams of the logarithm of the
-two probabilities' ratio, divided by their number. Every text with a score below THRESHOLD is rejected, as is every
+two probabilities' ratio, divided by their number. Every text with a score below one threshold is rejected, as is every
 text that fails the base rules (too few words, too many words in repeated windows). DataFrame functions only.
 
 Words are runs of anything but ASCII white space. Null and empty texts have no words and fail the base rules. Without
@@ -13,6 +13,7 @@ repeated rows and ids, null ids and further columns are harmless; an empty table
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,10 +21,11 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import WORD_GAP, checked_broadcast, let, stash
 
 BUCKETS = 1 << 14
-#: Added to every bucket's count.
+#: Added to every bucket's count; the target's share of it follows the corpus.
 SMOOTHING = 1.0
-#: Least mean log-ratio (nats an n-gram) of a kept text.
-THRESHOLD = -0.05
+#: A text is kept down to a mean log-ratio (nats an n-gram) of -MARGIN, less what a target of few n-grams costs any text:
+#: NOISE * BUCKETS / (n-grams of the target).
+MARGIN, NOISE = 0.04, 1.2
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
 SYMBOLS = r"[#*$%&|<>]"
 SPACE = " \t\n\x0b\f\r"
@@ -71,26 +73,52 @@ def buckets(hashes: Column) -> Column:
     return F.concat(F.transform(hashes, to), F.transform(neighbours(hashes, 2), to))
 
 
-def ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
-    """Log-ratio of each bucket, from counts over all documents; trusted holds the doc_id of trusted documents."""
+def fold(doc_id: Column) -> Column:
+    return F.coalesce(F.pmod(F.xxhash64(doc_id), F.lit(2)).cast("int"), F.lit(0))
+
+
+@dataclass
+class Model:
+    tables: list[list[float]]
+    threshold: float
+
+
+def fit(docs: DataFrame, trusted: DataFrame) -> Model:
+    """Log-ratios of the buckets and the threshold, from counts over all documents; trusted holds the doc_id of trusted documents.
+
+    Documents are counted in two halves, and each half gets its table from the other one's counts, so that no text is
+    measured by itself and labelled and unlabelled texts score alike, however few are labelled. The target is smoothed
+    towards the corpus.
+    """
     own = checked_broadcast(stash(trusted.select(F.col("doc_id").alias("t_id")).where("t_id is not null").distinct(), "trusted"))
     each = hashed(docs.select("doc_id", "text")).select(F.col("row.doc_id").alias("doc_id"), buckets(F.col("hashes")).alias("grams"))
-    marked = each.join(own, F.col("doc_id") == F.col("t_id"), "left").select(F.col("t_id").isNotNull().cast("long").alias("t"), F.explode_outer("grams").alias("bucket"))
-    # (explode would add a filter on the grams' size, which is pushed below and computes them all again)
-    counts = marked.where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target")).collect()  # BUCKETS rows at most
-    target, raw = [SMOOTHING] * BUCKETS, [SMOOTHING] * BUCKETS
-    for r in counts:
-        target[r["bucket"]] += r["target"]
-        raw[r["bucket"]] += r["raw"]
-    if sum(target) <= SMOOTHING * BUCKETS:
+    # explode would add a filter on the grams' size, which is pushed below and computes them all again
+    grams = F.explode_outer("grams").alias("bucket")
+    marked = each.join(own, F.col("doc_id") == F.col("t_id"), "left").select(F.col("t_id").isNotNull().cast("long").alias("t"), fold(F.col("doc_id")).alias("half"), grams)
+    counts = marked.where("bucket is not null").groupBy("bucket", "half").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
+    target, raw = [[0.0] * BUCKETS for _ in range(2)], [[0.0] * BUCKETS for _ in range(2)]
+    for r in counts.collect():  # two rows a bucket at most
+        target[1 - r["half"]][r["bucket"]] = r["target"]
+        raw[1 - r["half"]][r["bucket"]] = r["raw"]
+    noise = BUCKETS / max(1.0, min(map(sum, target)))
+    return Model([log_ratio(t, r) for t, r in zip(target, raw, strict=True)], -(MARGIN + NOISE * noise))
+
+
+def log_ratio(target: list[float], raw: list[float]) -> list[float]:
+    all_t, all_r, prior = sum(target), sum(raw), SMOOTHING * BUCKETS
+    if not all_t:
         return [0.0] * BUCKETS
-    shift = math.log(sum(raw)) - math.log(sum(target))
-    return [round(math.log(t) - math.log(r) + shift, 5) for t, r in zip(target, raw, strict=True)]
+    chance = [(r + SMOOTHING) / (all_r + prior) for r in raw]
+    return [round(math.log((t / c + prior) / (all_t + prior)), 5) for t, c in zip(target, chance, strict=True)]
+
+
+def summed(grams: str, ratio: Column) -> Column:
+    return F.aggregate(grams, F.lit(0.0), lambda a, b: a + F.get(ratio, b))
 
 
-def judge(docs: DataFrame, table: list[float], threshold: float = THRESHOLD) -> DataFrame:
+def judge(docs: DataFrame, model: Model) -> DataFrame:
     """row (the input row), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, base_failed, kept."""
-    ratio = F.split(F.lit(",".join(map(str, table))), ",").cast("array<double>")  # folded to one literal
+    first, second = (F.split(F.lit(",".join(map(str, t))), ",").cast("array<double>") for t in model.tables)  # folded to literals
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     counted = hashed(docs).select(
         "row",
@@ -102,15 +130,16 @@ def judge(docs: DataFrame, table: list[float], threshold: float = THRESHOLD) ->
         neighbours(F.col("hashes"), WINDOW).alias("windows"),
         buckets(F.col("hashes")).alias("grams"),
     )
-    total = F.aggregate("grams", F.lit(0.0), lambda a, b: a + F.get(ratio, b))
+    total = F.when(fold(F.col("row.doc_id")) == 0, summed("grams", first)).otherwise(summed("grams", second))
     scored = counted.select(
         "row", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         repeated_words(F.col("windows"), WINDOW).alias("n_repeat_words"),
         F.coalesce(F.round(F.try_divide(total, F.size("grams")), 6), F.lit(0.0)).alias("llr"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return scored.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    return scored.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= model.threshold))
 
 
-def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    return judge(docs, ratios(docs, labels.where("quality = 1")), threshold)
+def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Judge docs against the documents among them that labels call good (quality 1)."""
+    return judge(docs, fit(docs, labels.where("quality = 1")))
