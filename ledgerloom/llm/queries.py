@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import table
 
@@ -46,6 +47,13 @@ def op8_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.pii import pseudonyms, session_key
+
+    done = pseudonyms(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
+    return done.select("row.doc_id", "text", F.size("kinds").cast("long").alias("n_replaced"), "kinds")
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.jaccard import Spec, jaccard_join
 
@@ -53,7 +61,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op4_audio_features": op4_audio_features, "op6_lexicon_transducer_bpe": op6_lexicon_transducer_bpe, "op7_ngram_ratio_quality": op7_ngram_ratio_quality, "op8_best_two_fit_packing": op8_best_two_fit_packing, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
+    return {"op1_language_id": op1_language_id, "op4_audio_features": op4_audio_features, "op6_lexicon_transducer_bpe": op6_lexicon_transducer_bpe, "op7_ngram_ratio_quality": op7_ngram_ratio_quality, "op8_best_two_fit_packing": op8_best_two_fit_packing, "op9_feistel_pseudonyms": op9_feistel_pseudonyms, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
