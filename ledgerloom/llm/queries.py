@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import table
+from ledgerloom.llm.urls import FETCH_SQL, URL_KEY_SQL
 
 
 def tokenizer_path(name: str) -> str:
@@ -22,12 +23,36 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op2_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.warc import capture_index
+
+    index = capture_index(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "fetched", "capture_order")
+
+
+OP2_SQL = f"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS payload, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+r AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY payload) END AS largest FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(payload) AS payload_digest,
+  CASE WHEN largest IS NOT NULL AND page_id IS DISTINCT FROM largest THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM largest THEN largest END AS refers_to,
+  coalesce({URL_KEY_SQL}, '') AS url_key, {FETCH_SQL}::BIGINT AS fetched,
+  row_number() OVER (ORDER BY encode(coalesce({URL_KEY_SQL}, '')), {FETCH_SQL}, page_id NULLS FIRST) - 1 AS capture_order
+FROM r"""
+
+
 def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.audio import audio_features, store_audio
 
     return audio_features(store_audio(table(spark, sf_dir, "documents")), with_tensors=False)
 
 
+def op5_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.urlfilter import default_list, filter_pages
+
+    return filter_pages(table(spark, sf_dir, "pages"), default_list(spark))
+
+
 def op6_lexicon_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.lexicon import encode_documents
 
@@ -61,8 +86,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op4_audio_features": op4_audio_features, "op6_lexicon_transducer_bpe": op6_lexicon_transducer_bpe, "op7_ngram_ratio_quality": op7_ngram_ratio_quality, "op8_best_two_fit_packing": op8_best_two_fit_packing, "op9_feistel_pseudonyms": op9_feistel_pseudonyms, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
+    return {"op1_language_id": op1_language_id, "op2_warc_index_merge": op2_warc_index_merge, "op4_audio_features": op4_audio_features, "op5_temporal_url_filter": op5_temporal_url_filter, "op6_lexicon_transducer_bpe": op6_lexicon_transducer_bpe, "op7_ngram_ratio_quality": op7_ngram_ratio_quality, "op8_best_two_fit_packing": op8_best_two_fit_packing, "op9_feistel_pseudonyms": op9_feistel_pseudonyms, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from ledgerloom.llm import urlfilter
+
+    return {"op2_warc_index_merge": OP2_SQL, "op5_temporal_url_filter": urlfilter.oracle()}
