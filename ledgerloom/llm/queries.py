@@ -41,6 +41,12 @@ SELECT page_id, n::BIGINT AS payload_bytes, sha1(payload) AS payload_digest,
 FROM r"""
 
 
+def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.lm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.audio import audio_features, store_audio
 
@@ -86,7 +92,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op2_warc_index_merge": op2_warc_index_merge, "op4_audio_features": op4_audio_features, "op5_temporal_url_filter": op5_temporal_url_filter, "op6_lexicon_transducer_bpe": op6_lexicon_transducer_bpe, "op7_ngram_ratio_quality": op7_ngram_ratio_quality, "op8_best_two_fit_packing": op8_best_two_fit_packing, "op9_feistel_pseudonyms": op9_feistel_pseudonyms, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
+    return {"op1_language_id": op1_language_id, "op2_warc_index_merge": op2_warc_index_merge, "op3_context_mixing": op3_context_mixing, "op4_audio_features": op4_audio_features, "op5_temporal_url_filter": op5_temporal_url_filter, "op6_lexicon_transducer_bpe": op6_lexicon_transducer_bpe, "op7_ngram_ratio_quality": op7_ngram_ratio_quality, "op8_best_two_fit_packing": op8_best_two_fit_packing, "op9_feistel_pseudonyms": op9_feistel_pseudonyms, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
