@@ -65,15 +65,20 @@ def crc_mod(col, n: int):
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(n))
 
 
-def blocks(batch: pa.RecordBatch, text: str, max_chars: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of a batch whose texts hold about max_chars characters (one row at least); null texts become ''."""
+def blocks(batch: pa.RecordBatch, text: str, max_chars: int = 4_000_000, rows: int = 256) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of a batch whose texts hold about max_chars characters (one row at least); null texts become ''.
+
+    Texts are made from the batch a few rows at a time, so no more than a slice and these are held.
+    """
     col = batch.column(batch.schema.get_field_index(text))
-    texts = [x or "" for x in col.to_pylist()]
-    at, size = 0, 0
-    for i, x in enumerate(texts):
-        if i > at and size + len(x) > max_chars:
-            yield batch.slice(at, i - at), texts[at:i]
-            at, size = i, 0
-        size += len(x)
-    if at < len(texts):
-        yield batch.slice(at), texts[at:]
+    at, size, held = 0, 0, []
+    for first in range(0, batch.num_rows, rows):
+        for x in col.slice(first, rows).to_pylist():
+            x = x or ""
+            if held and size + len(x) > max_chars:
+                yield batch.slice(at, len(held)), held
+                at, size, held = at + len(held), 0, []
+            size += len(x)
+            held.append(x)
+    if held:
+        yield batch.slice(at), held
