@@ -35,9 +35,11 @@ from ledgerloom.llm.components import components
 from ledgerloom.llm.shingles import set_key, shingle_sets
 
 #: Least document count of a token that is ordered as frequent, and how many of these are broadcast at most.
-HOT_COUNT, HOT_TOKENS = 8, 1 << 17
+HOT_COUNT, HOT_TOKENS = 3, 1 << 18
+#: Tokens among which a task counts recurring ones at once.
+COUNT_TOKENS = 3_000_000
 #: Longest lengthening of a prefix; cost of a posting entry and of a verification.
-MAX_MATCHES, ENTRY_COST, VERIFY_COST = 6, 1.0, 20.0
+MAX_MATCHES, ENTRY_COST, VERIFY_COST = 16, 1.0, 200.0
 
 
 @dataclass(frozen=True)
@@ -54,19 +56,30 @@ class Spec:
 
 # ------------------------------------------------------------------ pass 1: sets and frequent tokens
 def signatures(docs: DataFrame, spec: Spec) -> DataFrame:
-    """Rows of documents (doc_id, n, key) and, with null key, tokens that recur within a block of texts (token, count)."""
+    """Rows of documents (doc_id, n, key) and, with null key, tokens that recur among some COUNT_TOKENS of a task (token, count)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n", "key", "token", "count"]
+        held, size = [], 0
+
+        def recurring() -> pa.RecordBatch:
+            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+            tokens, counts = tokens[counts > 1].view(np.int64), counts[counts > 1]
+            none = pa.nulls(len(tokens), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(tokens), pa.binary()), pa.array(tokens), pa.array(counts, pa.int64())], names)
+
         for batch in batches:
             for part, texts in blocks(batch, "text"):
                 sets = shingle_sets(texts, spec.k)
                 none = pa.nulls(len(sets), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(set_key, sets), pa.binary()), none, none], names)
-                tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
-                tokens, counts = tokens[counts > 1].view(np.int64), counts[counts > 1]
-                none = pa.nulls(len(tokens), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(tokens), pa.binary()), pa.array(tokens), pa.array(counts, pa.int64())], names)
+                held += sets
+                size += sum(map(len, sets))
+                if size > COUNT_TOKENS:
+                    yield recurring()
+                    held, size = [], 0
+        if held:
+            yield recurring()
 
     return docs.mapInArrow(run, "doc_id long, n long, key binary, token long, count long")
 
@@ -127,46 +140,50 @@ def sizes_fit(n: Column, m: Column, spec: Spec) -> Column:
     return F.greatest(n, m) * spec.num <= F.least(n, m) * spec.den
 
 
-def reachable(spec: Spec) -> Column:
-    """Whether a posting entry can be among the places used with the smallest set of its list (column least_n)."""
+def tightened(rows: DataFrame, spec: Spec) -> DataFrame:
+    """Leave out posting entries that no linked pair needs; rows: token, i, node, n, l (and more).
+
+    Of the tokens up to place i of a prefix only those that still stand in another list entry can be matched, so
+    i + 1 less their number (column miss) are not; a partner of the list's least size bears n - overlap of these.
+    """
+    by_token = Window.partitionBy("token")
+    listed = rows.withColumns({"least_n": F.min("n").over(by_token), "entries": F.count("*").over(by_token)}).where("entries > 1")
+    counted = listed.withColumn("miss", F.col("i") + 1 - F.row_number().over(Window.partitionBy("node").orderBy("i", "token")))
     smallest = F.greatest(F.col("least_n"), F.ceil(F.col("n") * spec.num / float(spec.den) - F.lit(1e-9)))
-    return F.col("i") < F.col("n") - overlap(F.col("n"), smallest, spec) + F.col("l")
+    return counted.where(F.col("miss") <= F.col("n") - overlap(F.col("n"), smallest, spec)).drop("least_n", "entries")
 
 
 def postings(prefixed: DataFrame, representatives: DataFrame, spec: Spec) -> DataFrame:
-    """token, i, node, n, l, leader of tokens that two representatives or more have in their prefixes."""
+    """token, i, node, n, l of tokens that two representatives or more have in their prefixes."""
     own = prefixed.join(representatives.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     rows = own.select(F.col("doc_id").alias("node"), "n", "l", F.posexplode("prefix").alias("i", "token"))
-    by_token = Window.partitionBy("token")
-    seen = rows.select("*", F.min("n").over(by_token).alias("least_n"), F.count("*").over(by_token).alias("entries")).where("entries > 1").where(reachable(spec))
-    lead = F.min(F.struct("i", "node", "n")).over(by_token)
-    return seen.select("token", "i", "node", "n", "l", lead.alias("lead"))
+    return tightened(rows, spec).drop("miss")
 
 
 def leader_pairs(shared: DataFrame, spec: Spec) -> DataFrame:
-    """(a, b): each document with the leader that shares most prefix tokens with it."""
-    rows = shared.where("lead.node != node").where(sizes_fit(F.col("n"), F.col("lead.n"), spec))
-    counts = rows.groupBy("node", F.col("lead.node").alias("leader")).agg(F.count("*").alias("c"))
-    return counts.groupBy("node").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("a")).select("a", F.col("node").alias("b"))
+    """(a, b): each document with the leader that shares most prefix tokens with it: half its shortest prefix at least.
+
+    A list's leader is the document in whose order the token stands first. These links only save work later on.
+    """
+    led = shared.withColumn("lead", F.min(F.struct("i", "node", "n")).over(Window.partitionBy("token")))
+    rows = led.where("lead.node != node").where(sizes_fit(F.col("n"), F.col("lead.n"), spec))
+    counts = rows.groupBy("node", F.col("lead.node").alias("leader")).agg(F.count("*").alias("c"), F.min("n").alias("n"))
+    enough = counts.where(2 * F.col("c") >= F.col("n") - F.ceil(F.col("n") * spec.num / float(spec.den) - F.lit(1e-9)) + 1)
+    return enough.groupBy("node").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("a")).select("a", F.col("node").alias("b"))
 
 
 def open_pairs(shared: DataFrame, labels: DataFrame, spec: Spec) -> DataFrame:
     """(a, b) in different components that share the required number of usable prefix tokens."""
+    labelled = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     by_token = Window.partitionBy("token")
-    rows = (
-        shared.drop("lead")
-        .join(labels, "node", "left")
-        .withColumn("component", F.coalesce("component", "node"))
-        .withColumns({"low": F.min("component").over(by_token), "high": F.max("component").over(by_token), "least_n": F.min("n").over(by_token)})
-        .where("low != high")
-        .where(reachable(spec))
-        .select("token", "i", "node", "n", "l", "component")
-    )
-    left, right = (rows.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("i", "node", "n", "l", "component"))) for s in "ab")
+    mixed = labelled.withColumns({"low": F.min("component").over(by_token), "high": F.max("component").over(by_token)}).where("low != high").drop("low", "high")
+    rows = tightened(mixed, spec)
+    left, right = (rows.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("i", "miss", "node", "n", "l", "component"))) for s in "ab")
     c = F.col
     need, matches = overlap(c("n_a"), c("n_b"), spec), F.least("l_a", "l_b")
     usable = (c("i_a") < c("n_a") - need + matches) & (c("i_b") < c("n_b") - need + matches)
-    on = (c("node_a") < c("node_b")) & (c("component_a") != c("component_b")) & sizes_fit(c("n_a"), c("n_b"), spec) & usable
+    borne = (c("miss_a") <= c("n_a") - need) & (c("miss_b") <= c("n_b") - need)
+    on = (c("node_a") < c("node_b")) & (c("component_a") != c("component_b")) & sizes_fit(c("n_a"), c("n_b"), spec) & usable & borne
     counts = left.join(right, "token").where(on).groupBy(c("node_a").alias("a"), c("node_b").alias("b")).agg(F.count("*").alias("c"), F.min(matches).alias("l"))
     return counts.where("c >= l").select("a", "b")
 
