@@ -14,8 +14,8 @@
    component is missed, and no list of a group's pairs is made.
 
 Words are runs of anything but ASCII white space, A-Z lower-cased. Null texts and texts without words have an empty
-set and link with nothing; fewer than k words are one shingle. Rows that share a doc_id are versions of one document:
-it links if one of them does; each row is returned, with the component of its own set. A null doc_id links with nothing and has a null component.
+set and link with nothing; fewer than k words are one shingle. Rows that share a doc_id are versions of one document
+and as such linked; each row is returned. A null doc_id links with nothing and has a null component.
 An empty table gives no rows; further columns are ignored.
 """
 
@@ -219,6 +219,13 @@ def verify(pairs: DataFrame, docs: DataFrame, spec: Spec) -> DataFrame:
     return stash(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct(), "links")
 
 
+def version_links(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): the classes in which one doc_id stands, by their nodes."""
+    each = rows.where("n > 0 and doc_id is not null").join(classes, ["key", "n"]).select("doc_id", "node")
+    several = each.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").select("doc_id", "a")
+    return each.join(several, "doc_id").where("node != a").select("a", F.col("node").alias("b"))
+
+
 @dataclass
 class Joined:
     """documents: doc_id, n_shingles, component_id. classes: key, n, node. links: verified (a, b) between class nodes."""
@@ -236,8 +243,24 @@ def jaccard_join(documents: DataFrame, spec: Spec = Spec()) -> Joined:
     shared = stash(postings(prefixes(docs.where("doc_id is not null"), frequent(signed), spec), classes, spec), "postings")
     near = verify(leader_pairs(shared, spec), docs, spec)
     found = components(near)
-    links = near.unionByName(verify(open_pairs(shared, found, spec), docs, spec))
+    links = near.unionByName(verify(open_pairs(shared, found, spec), docs, spec)).unionByName(version_links(rows, classes))
     labels = components(links)
     named = rows.join(classes, ["key", "n"], "left").join(labels, "node", "left")
     out = named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id"))
     return Joined(out, classes, links)
+
+
+def one_of_each(documents: DataFrame, joined: Joined) -> DataFrame:
+    """The rows of documents whose id is their component's: one of each group. Of rows that share an id one stays.
+
+    Only the ids to leave out and the repeated ones are looked up; texts move only where these are too many to broadcast.
+    """
+    stays = stash(joined.documents.select("doc_id", (F.col("component_id") == F.col("doc_id")).alias("stays")).where("doc_id is not null"), "stays")
+    gone = checked_broadcast(stash(stays.where(~F.col("stays")).select("doc_id").distinct(), "gone"))
+    again = stash(stays.where("stays").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "again")
+    left = documents.join(gone, "doc_id", "left_anti").select(documents.columns)
+    if again.isEmpty():
+        return left
+    once = left.join(checked_broadcast(again), "doc_id", "left_anti").select(documents.columns)
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[c for c in documents.columns if c != "doc_id"]))
+    return once.unionByName(left.join(checked_broadcast(again), "doc_id", "left_semi").select(*documents.columns, first.alias("j_first")).where("j_first = 1").drop("j_first"))
