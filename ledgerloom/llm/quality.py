@@ -135,9 +135,12 @@ def judge(docs: DataFrame, model: Model) -> DataFrame:
         "row", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         repeated_words(F.col("windows"), WINDOW).alias("n_repeat_words"),
         F.coalesce(F.round(F.try_divide(total, F.size("grams")), 6), F.lit(0.0)).alias("llr"),
+        # never null; keeps a filter on the verdict from being pushed below, where each lambda would split the text again
+        F.monotonically_increasing_id().alias("seen"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return scored.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= model.threshold))
+    verdict = ~F.col("base_failed") & (F.col("llr") >= model.threshold) & (F.col("seen") >= 0)
+    return scored.withColumn("base_failed", failed).withColumn("kept", verdict).drop("seen")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
