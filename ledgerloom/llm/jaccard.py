@@ -30,14 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.llm.common import blocks, checked_broadcast, stash
+from ledgerloom.llm.common import blocks, checked_broadcast, release, stash
 from ledgerloom.llm.components import components
 from ledgerloom.llm.shingles import set_key, shingle_sets
 
 #: Least document count of a token that is ordered as frequent, and how many of these are broadcast at most.
 HOT_COUNT, HOT_TOKENS = 3, 1 << 18
 #: Tokens among which a task counts recurring ones at once.
-COUNT_TOKENS = 3_000_000
+COUNT_TOKENS = 1_500_000
 #: Longest lengthening of a prefix; cost of a posting entry and of a verification.
 MAX_MATCHES, ENTRY_COST, VERIFY_COST = 16, 1.0, 200.0
 
@@ -69,7 +69,7 @@ def signatures(docs: DataFrame, spec: Spec) -> DataFrame:
             return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(tokens), pa.binary()), pa.array(tokens), pa.array(counts, pa.int64())], names)
 
         for batch in batches:
-            for part, texts in blocks(batch, "text"):
+            for part, texts in blocks(batch, "text", 2_000_000):
                 sets = shingle_sets(texts, spec.k)
                 none = pa.nulls(len(sets), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(set_key, sets), pa.binary()), none, none], names)
@@ -80,6 +80,8 @@ def signatures(docs: DataFrame, spec: Spec) -> DataFrame:
                     held, size = [], 0
         if held:
             yield recurring()
+        held = []
+        release()
 
     return docs.mapInArrow(run, "doc_id long, n long, key binary, token long, count long")
 
@@ -119,13 +121,14 @@ def prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], spec: Spec) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in blocks(batch, "text"):
+            for part, texts in blocks(batch, "text", 2_000_000):
                 sets = shingle_sets(texts, spec.k)
                 some = [i for i, s in enumerate(sets) if len(s)]
                 own = [prefix(sets[i], *shared.value, spec) for i in some]
                 flat = np.concatenate([p for _, p in own]).view(np.int64) if own else np.empty(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(p) for _, p in own)]), pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(some, pa.int64())), pa.array([len(sets[i]) for i in some], pa.int64()), pa.array([x for x, _ in own], pa.int32()), lists], ["doc_id", "n", "l", "prefix"])
+        release()
 
     return docs.mapInArrow(run, "doc_id long, n long, l int, prefix array<long>")
 
@@ -204,7 +207,7 @@ def verify(pairs: DataFrame, docs: DataFrame, spec: Spec) -> DataFrame:
                 texts_b = [t or "" for t in part.column(3).to_pylist()]
                 new = list({*texts_a, *texts_b} - kept.keys())
                 size += sum(map(len, new))
-                if size > 30_000_000:
+                if size > 10_000_000:
                     kept, size = {}, 0
                     new = list({*texts_a, *texts_b})
                 kept.update(zip(new, shingle_sets(new, spec.k), strict=True))
@@ -215,6 +218,8 @@ def verify(pairs: DataFrame, docs: DataFrame, spec: Spec) -> DataFrame:
                     linked.append(bool(spec.den * inter >= spec.num * (len(x) + len(y) - inter) and inter))
                 keep = pa.array(linked, pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["a", "b"])
+        kept = {}
+        release()
 
     return stash(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct(), "links")
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 #: Odd base of the word hash and its inverse modulo 2**64; positions are powers of the base.
 BASE = 0x9E3779B97F4A7C15 | 1
