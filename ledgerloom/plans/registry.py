@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from ledgerloom.plans.queries import QUERIES, SQL
 
 
 def queries() -> dict:
-    return QUERIES
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return SQL
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
