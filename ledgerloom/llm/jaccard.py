@@ -37,7 +37,7 @@ from ledgerloom.llm.shingles import set_key, shingle_sets
 #: Least document count of a token that is ordered as frequent, and how many of these are broadcast at most.
 HOT_COUNT, HOT_TOKENS = 3, 1 << 18
 #: Tokens among which a task counts recurring ones at once.
-COUNT_TOKENS = 1_500_000
+COUNT_TOKENS = 1_000_000
 #: Longest lengthening of a prefix; cost of a posting entry and of a verification.
 MAX_MATCHES, ENTRY_COST, VERIFY_COST = 16, 1.0, 200.0
 
@@ -69,7 +69,7 @@ def signatures(docs: DataFrame, spec: Spec) -> DataFrame:
             return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(tokens), pa.binary()), pa.array(tokens), pa.array(counts, pa.int64())], names)
 
         for batch in batches:
-            for part, texts in blocks(batch, "text", 2_000_000):
+            for part, texts in blocks(batch, "text", 1_000_000):
                 sets = shingle_sets(texts, spec.k)
                 none = pa.nulls(len(sets), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(set_key, sets), pa.binary()), none, none], names)
@@ -121,7 +121,7 @@ def prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], spec: Spec) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in blocks(batch, "text", 2_000_000):
+            for part, texts in blocks(batch, "text", 1_000_000):
                 sets = shingle_sets(texts, spec.k)
                 some = [i for i, s in enumerate(sets) if len(s)]
                 own = [prefix(sets[i], *shared.value, spec) for i in some]
@@ -207,7 +207,7 @@ def verify(pairs: DataFrame, docs: DataFrame, spec: Spec) -> DataFrame:
                 texts_b = [t or "" for t in part.column(3).to_pylist()]
                 new = list({*texts_a, *texts_b} - kept.keys())
                 size += sum(map(len, new))
-                if size > 10_000_000:
+                if size > 5_000_000:
                     kept, size = {}, 0
                     new = list({*texts_a, *texts_b})
                 kept.update(zip(new, shingle_sets(new, spec.k), strict=True))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.llm.common import blocks, crc_mod
+from ledgerloom.llm.common import blocks, crc_mod, release
 
 UNKNOWN = "und"
 #: Labelled rows of each language that training may use.
@@ -172,6 +172,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
                         names[i] = own.languages[best]
                 rejected = [n == UNKNOWN or s < own.threshold for n, s in zip(names, score, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(names), pa.array(score), pa.array(rejected)], [*part.schema.names[1:], "lang_pred", "score", "rejected"])
+        release()
 
     schema = held.drop("l_text").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     return held.mapInArrow(run, schema)

@@ -13,7 +13,6 @@ one. An empty table gives no rows. Further columns of the input are ignored.
 
 from __future__ import annotations
 
-import base64
 import json
 import os
 import zlib
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.llm.common import blocks, stash
+from ledgerloom.llm.common import blocks, release, stash
 
 CAPACITY = 1024
 END_ID = 2
@@ -43,9 +42,8 @@ class Ids:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
+        self.path, self._slow = path, None
         spec = json.load(open(path, encoding="utf-8"))
         self.plain = regex.compile(PLAIN)
         self.special = [t["content"] for t in spec["added_tokens"]]
@@ -58,6 +56,17 @@ class Ids:
             ranks = {bytes(back[c] for c in word): i for word, i in model["vocab"].items() if word not in special}
             if sorted(ranks.values()) == list(range(len(ranks))):
                 self.fast = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        del spec, pre, model
+        release()
+
+    @property
+    def slow(self):
+        """The library's tokenizer, loaded when a text first needs it."""
+        if self._slow is None:
+            from tokenizers import Tokenizer
+
+            self._slow = Tokenizer.from_file(self.path)
+        return self._slow
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
         for text in texts:
@@ -94,7 +103,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for batch in batches:
-            for part, texts in blocks(batch, "text"):
+            for part, texts in blocks(batch, "text", 1_000_000):
                 out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
                 for doc, ids in zip(part.column(0).to_pylist(), encode(texts), strict=True):
                     ids = np.append(ids, end_id).astype("<u4")
@@ -110,6 +119,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                     cols.append(pa.array(out["ids"], pa.list_(pa.int64())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
+        release()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
