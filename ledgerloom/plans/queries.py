@@ -400,7 +400,7 @@ def repair_symbols(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ grids, passes, images
-TOKENS = {"doc_id": "user_id", "page": "1", "seq": "event_id", "y": "value * 7", "x": "(event_id % 100) * 10.0", "text": "event_type"}
+TOKENS = {"doc_id": "user_id", "page": "1", "seq": "event_id", "y": "value * 7", "x": "cast((event_id % 100) * 10 AS double)", "text": "event_type"}
 ROWS_SQL = f"""
 WITH t AS ({source('events', TOKENS)}), g AS (SELECT *, y - lag(y) OVER (PARTITION BY doc_id ORDER BY y, seq) AS gap FROM t),
 r AS (SELECT *, (sum(CASE WHEN gap > 12 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY y, seq))::INT AS row_no FROM g)"""
@@ -411,7 +411,7 @@ def token_rows(spark, sf_dir):
     return grid.token_rows(raw(spark, sf_dir, "events", TOKENS)).select("doc_id", "seq", "row_no")
 
 
-WORDS = {"doc_id": "user_id", "page": "1", "seq": "event_id", "x0": "value", "x1": "value + 15", "top": "(event_id % 40) * 9.0 + event_id % 3", "text": "event_type"}
+WORDS = {"doc_id": "user_id", "page": "1", "seq": "event_id", "x0": "value", "x1": "value + 15", "top": "cast((event_id % 40) * 9 + event_id % 3 AS double)", "text": "event_type"}
 
 
 @query(

@@ -29,7 +29,7 @@ Decoder = Callable[[bytes], list[tuple[int, list[str], list[list[str]]]]]
 
 
 def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """doc_id (the path), path, suffix, category, n_bytes, content."""
+    """doc_id (the path), path, suffix, category, n_bytes, content. The engine leaves out files of no bytes."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
     own = found.select(F.col("path").alias("doc_id"), "path", suffix("path").alias("suffix"), F.col("length").alias("n_bytes"), "content")
     return own.withColumn("category", category("suffix"))
