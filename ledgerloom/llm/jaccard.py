@@ -37,7 +37,7 @@ from ledgerloom.llm.shingles import set_key, shingle_sets
 #: Least document count of a token that is ordered as frequent, and how many of these are broadcast at most.
 HOT_COUNT, HOT_TOKENS = 3, 1 << 18
 #: Tokens among which a task counts recurring ones at once.
-COUNT_TOKENS = 1_000_000
+COUNT_TOKENS = 2_000_000
 #: Longest lengthening of a prefix; cost of a posting entry and of a verification.
 MAX_MATCHES, ENTRY_COST, VERIFY_COST = 16, 1.0, 200.0
 
@@ -143,6 +143,11 @@ def sizes_fit(n: Column, m: Column, spec: Spec) -> Column:
     return F.greatest(n, m) * spec.num <= F.least(n, m) * spec.den
 
 
+def smallest_partner(spec: Spec) -> Column:
+    """The least size of a set that links with one of size n."""
+    return F.ceil(F.col("n") * spec.num / float(spec.den) - F.lit(1e-9))
+
+
 def tightened(rows: DataFrame, spec: Spec) -> DataFrame:
     """Leave out posting entries that no linked pair needs; rows: token, i, node, n, l (and more).
 
@@ -152,7 +157,7 @@ def tightened(rows: DataFrame, spec: Spec) -> DataFrame:
     by_token = Window.partitionBy("token")
     listed = rows.withColumns({"least_n": F.min("n").over(by_token), "entries": F.count("*").over(by_token)}).where("entries > 1")
     counted = listed.withColumn("miss", F.col("i") + 1 - F.row_number().over(Window.partitionBy("node").orderBy("i", "token")))
-    smallest = F.greatest(F.col("least_n"), F.ceil(F.col("n") * spec.num / float(spec.den) - F.lit(1e-9)))
+    smallest = F.greatest(F.col("least_n"), smallest_partner(spec))
     return counted.where(F.col("miss") <= F.col("n") - overlap(F.col("n"), smallest, spec)).drop("least_n", "entries")
 
 
@@ -176,28 +181,54 @@ def leader_pairs(shared: DataFrame, spec: Spec) -> DataFrame:
 
 
 def open_pairs(shared: DataFrame, labels: DataFrame, spec: Spec) -> DataFrame:
-    """(a, b) in different components that share the required number of usable prefix tokens."""
+    """(a, b) in different components that share the required number of usable prefix tokens.
+
+    The first token that a linked pair shares stands among the first n - overlap + 1 of either: pairs are met there, and
+    then asked for the l shared tokens of their lengthened prefixes.
+    """
     labelled = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     by_token = Window.partitionBy("token")
     mixed = labelled.withColumns({"low": F.min("component").over(by_token), "high": F.max("component").over(by_token)}).where("low != high").drop("low", "high")
-    rows = tightened(mixed, spec)
-    left, right = (rows.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("i", "miss", "node", "n", "l", "component"))) for s in "ab")
+    rows, members = alike(stash(tightened(mixed, spec), "open"))
+    lists = stash(rows.groupBy("node", "n", "l").agg(F.sort_array(F.collect_list(F.struct("i", "token"))).alias("own")), "lists")
+    least = F.min("n").over(by_token)
+    front = rows.withColumn("least_n", least).where(F.col("i") <= F.col("n") - overlap(F.col("n"), F.greatest(F.col("least_n"), smallest_partner(spec)), spec))
+    left, right = (front.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("i", "miss", "node", "n", "component"))) for s in "ab")
     c = F.col
-    need, matches = overlap(c("n_a"), c("n_b"), spec), F.least("l_a", "l_b")
-    usable = (c("i_a") < c("n_a") - need + matches) & (c("i_b") < c("n_b") - need + matches)
-    borne = (c("miss_a") <= c("n_a") - need) & (c("miss_b") <= c("n_b") - need)
-    on = (c("node_a") < c("node_b")) & (c("component_a") != c("component_b")) & sizes_fit(c("n_a"), c("n_b"), spec) & usable & borne
-    counts = left.join(right, "token").where(on).groupBy(c("node_a").alias("a"), c("node_b").alias("b")).agg(F.count("*").alias("c"), F.min(matches).alias("l"))
-    return counts.where("c >= l").select("a", "b")
+    need = overlap(c("n_a"), c("n_b"), spec)
+    borne = (c("miss_a") <= c("n_a") - need) & (c("miss_b") <= c("n_b") - need) & (c("i_a") <= c("n_a") - need) & (c("i_b") <= c("n_b") - need)
+    on = (c("node_a") < c("node_b")) & (c("component_a") != c("component_b")) & sizes_fit(c("n_a"), c("n_b"), spec) & borne
+    near = left.join(right, "token").where(on).select(c("node_a").alias("a"), c("node_b").alias("b")).distinct()
+    list_of = lambda s: lists.select(c("node").alias(s), *(c(x).alias(f"{x}_{s}") for x in ("n", "l", "own")))
+    matches = F.least("l_a", "l_b")
+    window = lambda s: F.transform(F.filter(f"own_{s}", lambda x: x["i"] < c(f"n_{s}") - need + matches), lambda x: x["token"])
+    found = near.join(list_of("a"), "a").join(list_of("b"), "b").where(F.size(F.array_intersect(window("a"), window("b"))) >= matches).select("a", "b")
+    as_a, as_b = members.select(F.col("of").alias("a"), F.col("node").alias("x")), members.select(F.col("of").alias("b"), F.col("node").alias("y"))
+    return found.join(as_a, "a").join(as_b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def alike(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of one document of each kind, members (node, of)): documents of a component with equal entries are of a kind.
+
+    Whether two documents share enough depends on nothing but their entries, so one of a kind stands for all. Most near
+    copies of a text differ behind the places used and are of few kinds.
+    """
+    own = F.xxhash64(F.sort_array(F.collect_list(F.struct("i", "token"))))
+    kinds = rows.groupBy("node", "n", "l", "component").agg(own.alias("entries"))
+    first = kinds.groupBy("component", "n", "l", "entries").agg(F.min("node").alias("of"))
+    members = stash(kinds.join(first, ["component", "n", "l", "entries"]).select("node", "of"), "kinds")
+    return rows.join(members.where("node = of").select("node").distinct(), "node", "left_semi"), members
 
 
 # ------------------------------------------------------------------ verification
 def verify(pairs: DataFrame, docs: DataFrame, spec: Spec) -> DataFrame:
     """The pairs (a, b) whose whole sets link. Only texts that stand in a pair are moved."""
     pairs = stash(pairs, "pairs")
-    ids = stash(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    sides = pairs.select(F.col("a").alias("doc_id"), F.lit(True).alias("first")).unionByName(pairs.select(F.col("b").alias("doc_id"), F.lit(False).alias("first")))
+    ids = stash(sides.groupBy("doc_id").agg(F.bool_or("first").alias("is_a"), F.bool_or(~F.col("first")).alias("is_b")), "ids")
     texts = stash(docs.join(checked_broadcast(ids), "doc_id"), "texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    side = lambda s: texts.where(f"is_{s}").select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, np.ndarray] = {}
