@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.llm.common import blocks, crc_mod, release
+from ledgerloom.llm.common import blocks, checked_broadcast, crc_mod, release, stash
 
 UNKNOWN = "und"
 #: Labelled rows of each language that training may use.
@@ -98,7 +98,8 @@ def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[
     """(language, buckets, counts) of the sample, in hash order. Ids are chosen first; only their texts are read."""
     usable = F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = labelled.where(usable).select("doc_id", "lang").withColumn("l_nth", nth).where(F.col("l_nth") <= per_language).drop("lang")
+    first = labelled.where(usable).select("doc_id", "lang").withColumn("l_nth", nth).where(F.col("l_nth") <= per_language)
+    ids = checked_broadcast(stash(first.drop("lang"), "sample"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,7 +107,7 @@ def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[
                 found = [np.unique(np.concatenate([ngrams(p) for p in pieces(t)]), return_counts=True) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([a for a, _ in found], pa.list_(pa.int32())), pa.array([n for _, n in found], pa.list_(pa.int32()))], ["l_nth", "lang", "buckets", "counts"])
 
-    rows = labelled.where(usable).select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id").select("l_nth", "lang", "text")
+    rows = labelled.where(usable).select("doc_id", "lang", "text").join(ids, "doc_id").select("l_nth", "lang", "text")
     got = rows.mapInArrow(count, "l_nth int, lang string, buckets array<int>, counts array<int>").toArrow().to_pylist()
     got.sort(key=lambda r: (r["l_nth"], r["lang"], r["buckets"]))
     return [(r["lang"], np.array(r["buckets"], np.intp), np.array(r["counts"], float)) for r in got if r["buckets"]]
