@@ -42,6 +42,10 @@ COUNT_TOKENS = 2_000_000
 MAX_MATCHES, ENTRY_COST, VERIFY_COST = 16, 1.0, 200.0
 
 
+#: Bits of the bitmaps that are compared before texts are.
+SKETCH_BITS = 4096
+
+
 @dataclass(frozen=True)
 class Spec:
     """k words a shingle; two sets link when den * |intersection| >= num * |union|."""
@@ -221,13 +225,53 @@ def alike(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 # ------------------------------------------------------------------ verification
+def sketches(texts: DataFrame, spec: Spec) -> DataFrame:
+    """doc_id, n, bits: a bitmap of SKETCH_BITS of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, own in blocks(batch, "text", 1_000_000):
+                sets = shingle_sets(own, spec.k)
+                maps = np.zeros((len(sets), SKETCH_BITS), bool)
+                for row, tokens in zip(maps, sets, strict=True):
+                    row[tokens % np.uint64(SKETCH_BITS)] = True
+                bits = [m.tobytes() for m in np.packbits(maps, axis=1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, sets), pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "n", "bits"])
+        release()
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, bits binary")
+
+
+def possible(pairs: DataFrame, sketched: DataFrame, spec: Spec) -> DataFrame:
+    """The pairs whose bitmaps leave room for a link: every bit in which they differ is a token that only one set has."""
+    side = lambda s: sketched.select(F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in (4, 5))
+                total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+                need = -(-spec.num * total // (spec.num + spec.den))
+                keep = pa.array(2 * need <= total - np.bitwise_count(x ^ y).sum(axis=1).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in (0, 1)], ["a", "b"])
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
+def with_roles(pairs: DataFrame) -> DataFrame:
+    """(doc_id, is_a, is_b) of the documents that stand in pairs."""
+    sides = pairs.select(F.col("a").alias("doc_id"), F.lit(True).alias("first")).unionByName(pairs.select(F.col("b").alias("doc_id"), F.lit(False).alias("first")))
+    return sides.groupBy("doc_id").agg(F.bool_or("first").alias("is_a"), F.bool_or(~F.col("first")).alias("is_b"))
+
+
 def verify(pairs: DataFrame, docs: DataFrame, spec: Spec) -> DataFrame:
-    """The pairs (a, b) whose whole sets link. Only texts that stand in a pair are moved."""
+    """The pairs (a, b) whose whole sets link. Bitmaps rule out most others, and only texts of the rest are moved."""
     pairs = stash(pairs, "pairs")
-    sides = pairs.select(F.col("a").alias("doc_id"), F.lit(True).alias("first")).unionByName(pairs.select(F.col("b").alias("doc_id"), F.lit(False).alias("first")))
-    ids = stash(sides.groupBy("doc_id").agg(F.bool_or("first").alias("is_a"), F.bool_or(~F.col("first")).alias("is_b")), "ids")
-    texts = stash(docs.join(checked_broadcast(ids), "doc_id"), "texts")
-    side = lambda s: texts.where(f"is_{s}").select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}"))
+    texts = stash(docs.join(checked_broadcast(stash(with_roles(pairs).select("doc_id"), "ids")), "doc_id"), "texts")
+    pairs = stash(possible(pairs, stash(sketches(texts, spec), "sketches"), spec), "pairs")
+    needed = texts.join(checked_broadcast(stash(with_roles(pairs), "ids")), "doc_id")
+    side = lambda s: needed.where(f"is_{s}").select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
