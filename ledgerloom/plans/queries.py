@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerloom import vocabulary as V
 from ledgerloom.functions import messages as M
 from ledgerloom.functions import text as X
-from ledgerloom.operators import classify, cleaning, grid, images, mapping, records, repair, rollup
+from ledgerloom.operators import classify, cleaning, grid, images, mapping, records, repair, rollup, statistics
 from ledgerloom.plans.ingest import ingest_tables
 from ledgerloom.sources.files import first_pass
 
@@ -399,7 +399,59 @@ def repair_symbols(spark, sf_dir):
     return done.select("doc_id", "stray", F.size(F.filter("cells", lambda r: F.get(r, 0) != "")).cast("long").alias("filled"))
 
 
+COUNTS = {"doc_id": "user_id", "own": "CASE WHEN user_id % 3 = 0 THEN '12' WHEN event_id % 4 = 0 THEN '0' ELSE '' END", "other": "CASE WHEN event_id % 5 = 0 THEN 'x' ELSE '1,' || (100 + event_id % 100) END"}
+
+
+@query(
+    f"WITH r AS ({source('events', COUNTS)}), d AS (SELECT doc_id, avg((own = '12')::INT) AS o, avg((other <> 'x')::INT) AS k, count(*) FILTER (own NOT IN ('', '0')) AS f, count(*) AS n FROM r GROUP BY doc_id) "
+    "SELECT doc_id, CASE WHEN o < 0.3 AND k > 0.4 THEN 2 END AS stray, CASE WHEN o < 0.3 AND k > 0.4 THEN n ELSE f END AS filled FROM d"
+)
+def repair_shares(spark, sf_dir):
+    own = raw(spark, sf_dir, "events", COUNTS).groupBy("doc_id").agg(F.collect_list(F.array(F.lit("AAPL"), "own", "other")).alias("cells"))
+    done = repair.repair_shares(own.withColumn("headers", F.array(*map(F.lit, ["symbol", "shares", "total"]))), F.lit("shares"), F.lit("symbol"))
+    return done.select("doc_id", "stray", F.size(F.filter("cells", lambda r: ~F.get(r, 1).isin("", "0"))).cast("long").alias("filled"))
+
+
+RUNS = {"suite": "o_orderpriority", "passed": "o_orderstatus = 'F'", "latency_ms": "CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE o_orderkey % 97 END", "record_count": "o_custkey % 10"}
+
+
+@query(
+    f"SELECT suite, count(*) AS runs, count(*) FILTER (passed) AS passed, round(avg(passed::INT), 6) AS pass_rate, round(avg(latency_ms) FILTER (latency_ms > 0), 6) AS mean_latency_ms, "
+    f"round(avg(record_count) FILTER (passed), 6) AS mean_records FROM ({source('orders', RUNS)}) GROUP BY suite"
+)
+def suite_statistics(spark, sf_dir):
+    return statistics.suites(raw(spark, sf_dir, "orders", RUNS))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN 'name' ELSE 'name,region' END AS told FROM nation")
+def told_fields(spark, sf_dir):
+    fields = F.create_map(F.lit("name"), F.col("n_name"), F.lit("region"), F.col("n_regionkey").cast("string"), F.lit("note"), F.lit(""))
+    own = raw(spark, sf_dir, "nation", {"n_nationkey": "n_nationkey", "n_name": "n_name", "n_regionkey": "n_regionkey"})
+    return own.select("n_nationkey", F.array_join(F.array_sort(F.map_keys(statistics.told_fields(fields))), ",").alias("told"))
+
+
 # ------------------------------------------------------------------ grids, passes, images
+BLOBS = {"doc_id": "user_id", "x": "cast((event_id * 37) % 900 AS double)", "y": "cast((event_id * 53) % 560 AS double)", "w": "cast(20 + event_id % 90 AS double)", "h": "cast(5 + event_id % 30 AS double)", "img_w": "1000.0", "img_h": "600.0"}
+
+
+@query(
+    f"WITH b AS ({source('events', BLOBS)}), f AS (SELECT *, floor((x + w / 2) * 20 / img_w) AS c, floor((y + h / 2) * 20 / img_h) AS r FROM b WHERE w * h / (img_w * img_h) > 0.0001 AND w * h / (img_w * img_h) < 0.10 AND h <= 0.15 * img_h AND w <= 0.90 * img_w AND w >= h), "
+    "a AS (SELECT doc_id, count(*) AS all_blobs FROM b GROUP BY doc_id), t AS (SELECT doc_id, count(*) AS blobs, count(DISTINCT r) AS rows FROM f GROUP BY doc_id), "
+    "k AS (SELECT doc_id, c, count(*) AS n FROM f GROUP BY doc_id, c), w AS (SELECT doc_id, count(*) AS columns, count(*) FILTER (n >= 2) AS full_columns, (max(c) - min(c)) / 20 AS spread FROM k GROUP BY doc_id) "
+    "SELECT doc_id, all_blobs, coalesce(blobs, 0) AS blobs, coalesce(rows, 0) AS rows, coalesce(columns, 0) AS columns, coalesce(full_columns, 0) AS full_columns, coalesce(spread, 0)::DOUBLE AS spread FROM a LEFT JOIN t USING (doc_id) LEFT JOIN w USING (doc_id)"
+)
+def blob_measures(spark, sf_dir):
+    return images.borderless(raw(spark, sf_dir, "events", BLOBS))
+
+
+READ = {"doc_id": "user_id", "seq": "event_id", "conf": "value / 1000", "text": "CASE WHEN event_id % 5 = 0 THEN ' ' ELSE event_type END"}
+
+
+@query(f"SELECT doc_id, seq FROM ({source('events', READ)}) WHERE conf >= 0.05 AND trim(text) <> ''")
+def confident_tokens(spark, sf_dir):
+    return images.confident(raw(spark, sf_dir, "events", READ)).select("doc_id", "seq")
+
+
 TOKENS = {"doc_id": "user_id", "page": "1", "seq": "event_id", "y": "value * 7", "x": "cast((event_id % 100) * 10 AS double)", "text": "event_type"}
 ROWS_SQL = f"""
 WITH t AS ({source('events', TOKENS)}), g AS (SELECT *, y - lag(y) OVER (PARTITION BY doc_id ORDER BY y, seq) AS gap FROM t),
