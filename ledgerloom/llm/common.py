@@ -53,6 +53,23 @@ def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataF
     return F.broadcast(small) if n <= max_rows else small
 
 
+def most_frequent(counts: DataFrame, column: str, most: int) -> DataFrame:
+    """The rows of a written table with the largest counts: ``most`` at most.
+
+    A histogram of the counts (16 steps a power of two, so a bounded number of rows) gives the least count; no task has
+    to hold the largest rows of all others. Rows that tie over the limit are left out together.
+    """
+    step = F.floor(F.log2(F.col(column).cast("double")) * 16)
+    steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect()
+    total, least = 0, None
+    for r in steps:
+        total += r["n"]
+        if total > most:
+            break
+        least = r["step"]
+    return counts.where(step >= least) if least is not None else counts.where("false")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.llm.common import blocks, checked_broadcast, release, stash
+from ledgerloom.llm.common import blocks, checked_broadcast, most_frequent, release, stash
 from ledgerloom.llm.components import components
 from ledgerloom.llm.shingles import set_key, shingle_sets
 
@@ -92,8 +92,8 @@ def signatures(docs: DataFrame, spec: Spec) -> DataFrame:
 
 def frequent(signed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted tokens (as unsigned numbers) and counts of the most frequent ones: HOT_TOKENS at most."""
-    sums = signed.where("key is null").groupBy("token").agg(F.sum("count").alias("count"))
-    top = sums.where(F.col("count") >= HOT_COUNT).orderBy(F.desc("count"), "token").limit(HOT_TOKENS).toArrow()
+    sums = signed.where("key is null").groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= HOT_COUNT)
+    top = most_frequent(stash(sums, "frequent"), "count", HOT_TOKENS).toArrow()
     tokens, counts = top.column("token").to_numpy().view(np.uint64), top.column("count").to_numpy()
     order = np.argsort(tokens)
     return tokens[order], counts[order]

@@ -27,7 +27,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import blocks, fresh_path
+from ledgerloom.llm.common import blocks, fresh_path, most_frequent, stash
 
 #: Words of the lexicon at most; a bound on the file (a few MB), on what reaches the driver and on nothing else.
 LEXICON_WORDS = 1 << 17
@@ -227,8 +227,8 @@ def write_shared(spark: SparkSession, path: str, content: bytes) -> None:
 def compile_lexicon(docs: DataFrame, tokenizer: str, size: int = LEXICON_WORDS) -> str:
     """Count, compile, write and hand out the lexicon; returns the name under which executors find it."""
     spark = docs.sparkSession
-    top = count_words(docs, tokenizer).orderBy(F.desc("n"), "word").limit(size)
-    words = sorted(r["word"].encode() for r in top.select("word").toLocalIterator())
+    top = most_frequent(stash(count_words(docs, tokenizer), "words"), "n", size)
+    words = sorted(r["word"].encode() for r in top.select("word").collect())
     ids = words_of(tokenizer).merge([w.decode() for w in words])
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     path = f"{fresh_path(spark, 'lexicon')}/{name}"
