@@ -71,6 +71,19 @@ def test_scores(spark):
     assert len(same) == 1  # equal texts, and the same words in capitals
 
 
+def test_scores_do_not_hang_on_the_broadcast_words(spark, monkeypatch):
+    """Every trained word's count enters the score, whether it is among the COMMON words or joined."""
+    texts = [f"{EN} {FR} rare{i} words{i} stand{i // 3} here {'again ' * (i % 5)}" for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    every = {r["doc_id"]: r for r in lm.score(docs).collect()}
+    for common in (0, 20):
+        monkeypatch.setattr(lm, "COMMON", common)
+        for r in lm.score(docs).collect():
+            own = every[r["doc_id"]]
+            assert r["n_known"] == own["n_known"] and math.isclose(r["base_score"], own["base_score"], rel_tol=1e-9)
+            assert math.isclose(r["score"], own["score"], rel_tol=1e-6) and math.isclose(r["bits_per_byte"], own["bits_per_byte"], rel_tol=1e-6)
+
+
 def test_score_empty(spark):
     assert lm.score(empty_docs(spark)).count() == 0
 
