@@ -84,6 +84,18 @@ def test_scores_do_not_hang_on_the_broadcast_words(spark, monkeypatch):
             assert math.isclose(r["score"], own["score"], rel_tol=1e-6) and math.isclose(r["bits_per_byte"], own["bits_per_byte"], rel_tol=1e-6)
 
 
+def test_all_training_texts_are_learned_from(spark):
+    """However few the documents, each enters the bit counts: unseen words of known parts cost less than turned round."""
+    parts = ["walk", "talk", "stalk", "jump", "paint", "print", "form", "light", "sound", "count"], ["ing", "ings", "ed", "er", "ers", "able", "ingly"]
+    known = [a + b for i, a in enumerate(parts[0]) for k, b in enumerate(parts[1]) if (i + k) % 3]
+    unseen = [a + b for i, a in enumerate(parts[0]) for k, b in enumerate(parts[1]) if not (i + k) % 3]
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    free = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 != 1][:60]
+    rows = [(i, " ".join(known[i % 7 :] + known[: i % 7])) for i in free] + [(held[0], " ".join(unseen)), (held[1], " ".join(w[::-1] for w in unseen))]
+    got = {r["doc_id"]: r["bits_per_byte"] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held[0]] < 0.6 * got[held[1]]
+
+
 def test_score_empty(spark):
     assert lm.score(empty_docs(spark)).count() == 0
 
