@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -47,6 +48,17 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collect the driver's garbage, so that Spark drops the shuffles and broadcasts to which nothing refers any more.
+
+    Long operators call this between their written steps: otherwise spent shuffle files and plans stay until the
+    driver's heap happens to fill.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+    release()
+
+
 def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only if small (already written) has at most max_rows rows; beyond, Spark shuffles it."""
     n = small.limit(max_rows + 1).count()
@@ -60,9 +72,9 @@ def most_frequent(counts: DataFrame, column: str, most: int) -> DataFrame:
     to hold the largest rows of all others. Rows that tie over the limit are left out together.
     """
     step = F.floor(F.log2(F.col(column).cast("double")) * 16)
-    steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect()
+    steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()
     total, least = 0, None
-    for r in steps:
+    for r in sorted(steps, key=lambda r: -r["step"]):
         total += r["n"]
         if total > most:
             break

@@ -1,12 +1,52 @@
-"""Connected components of an edge table by alternating large-star and small-star steps."""
+"""Connected components of an edge table.
+
+Up to LOCAL_EDGES edges are contracted in one task, whose memory that bound keeps small; larger tables by alternating
+large-star and small-star steps over the cluster. Both give the same components.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import stash
 
+#: Most edges that one task contracts: 32 MB of ids.
+LOCAL_EDGES = 1 << 21
+
+
+def contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, their components): each node takes the least label around it, and labels jump, until nothing moves."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        for side in (a, b):
+            np.minimum.at(new, side, least)
+            np.minimum.at(new, label[side], least)
+        while True:
+            jumped = new[new]
+            if (jumped == new).all():
+                break
+            new = jumped
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
+def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
+    if parts:
+        nodes, component = contracted(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        for i in range(0, len(nodes), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + (1 << 16)]), pa.array(component[i : i + (1 << 16)])], ["node", "component"])
+
 
 def state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
@@ -28,8 +68,11 @@ def small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every node that has a link; component is the least node reachable."""
-    edges = stash(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "edges")
+    """(node, component) for every node that has a link; component is the least node reachable. links: a written table."""
+    each = links.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u != v")
+    if each.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES:
+        return stash(each.repartition(1).mapInArrow(contract, "node long, component long"), "components")
+    edges = stash(each.distinct(), "edges")
     now = state(edges)
     while now[0]:
         edges = stash(small_star(large_star(edges)), "edges")

@@ -26,11 +26,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.llm.common import blocks, checked_broadcast, most_frequent, release, stash
+from ledgerloom.llm.common import blocks, checked_broadcast, most_frequent, release, stash, tidy
 from ledgerloom.llm.components import components
 from ledgerloom.llm.shingles import set_key, shingle_sets
 
@@ -119,9 +120,8 @@ def prefix(tokens: np.ndarray, hot: np.ndarray, counts: np.ndarray, spec: Spec)
     return best + 1, tokens[order[: sizes[best]]]
 
 
-def prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], spec: Spec) -> DataFrame:
-    """doc_id, n, l, prefix of every document with a token."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+def prefixes(docs: DataFrame, shared: Broadcast, spec: Spec) -> DataFrame:
+    """doc_id, n, l, prefix of every document with a token; shared: the frequent tokens and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,8 +225,8 @@ def alike(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 # ------------------------------------------------------------------ verification
-def sketches(texts: DataFrame, spec: Spec) -> DataFrame:
-    """doc_id, n, bits: a bitmap of SKETCH_BITS of each set."""
+def sketched(texts: DataFrame, spec: Spec) -> DataFrame:
+    """doc_id, text, n, bits: a bitmap of SKETCH_BITS of each set beside the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,15 +236,15 @@ def sketches(texts: DataFrame, spec: Spec) -> DataFrame:
                 for row, tokens in zip(maps, sets, strict=True):
                     row[tokens % np.uint64(SKETCH_BITS)] = True
                 bits = [m.tobytes() for m in np.packbits(maps, axis=1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, sets), pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "n", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(map(len, sets), pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "text", "n", "bits"])
         release()
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, bits binary")
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, n long, bits binary")
 
 
-def possible(pairs: DataFrame, sketched: DataFrame, spec: Spec) -> DataFrame:
+def possible(pairs: DataFrame, texts: DataFrame, spec: Spec) -> DataFrame:
     """The pairs whose bitmaps leave room for a link: every bit in which they differ is a token that only one set has."""
-    side = lambda s: sketched.select(F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
+    side = lambda s: texts.select(F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,11 +266,10 @@ def with_roles(pairs: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, docs: DataFrame, spec: Spec) -> DataFrame:
-    """The pairs (a, b) whose whole sets link. Bitmaps rule out most others, and only texts of the rest are moved."""
-    pairs = stash(pairs, "pairs")
-    texts = stash(docs.join(checked_broadcast(stash(with_roles(pairs).select("doc_id"), "ids")), "doc_id"), "texts")
-    pairs = stash(possible(pairs, stash(sketches(texts, spec), "sketches"), spec), "pairs")
-    needed = texts.join(checked_broadcast(stash(with_roles(pairs), "ids")), "doc_id")
+    """The pairs (a, b), a written table, whose whole sets link. Bitmaps rule out most others, and only texts of the rest are moved."""
+    texts = stash(sketched(docs.join(checked_broadcast(stash(with_roles(pairs).select("doc_id"), "ids")), "doc_id"), spec), "texts")
+    pairs = stash(possible(pairs, texts, spec), "pairs")
+    needed = texts.select("doc_id", "text").join(checked_broadcast(stash(with_roles(pairs), "ids")), "doc_id")
     side = lambda s: needed.where(f"is_{s}").select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
@@ -320,11 +319,19 @@ def jaccard_join(documents: DataFrame, spec: Spec = Spec()) -> Joined:
     signed = stash(signatures(docs, spec), "signatures")
     rows = signed.where("key is not null").select("doc_id", "n", "key")
     classes = stash(rows.where("n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("node")), "classes")
-    shared = stash(postings(prefixes(docs.where("doc_id is not null"), frequent(signed), spec), classes, spec), "postings")
-    near = verify(leader_pairs(shared, spec), docs, spec)
+    spark = docs.sparkSession
+    hot = spark.sparkContext.broadcast(frequent(signed))
+    shared = stash(postings(prefixes(docs.where("doc_id is not null"), hot, spec), classes, spec), "postings")
+    hot.destroy()
+    tidy(spark)
+    near = verify(stash(leader_pairs(shared, spec), "pairs"), docs, spec)
     found = components(near)
-    links = near.unionByName(verify(open_pairs(shared, found, spec), docs, spec)).unionByName(version_links(rows, classes))
+    tidy(spark)
+    pairs = stash(open_pairs(shared, found, spec), "pairs")
+    tidy(spark)
+    links = near.unionByName(verify(pairs, docs, spec)).unionByName(stash(version_links(rows, classes), "versions"))
     labels = components(links)
+    tidy(spark)
     named = rows.join(classes, ["key", "n"], "left").join(labels, "node", "left")
     out = named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id"))
     return Joined(out, classes, links)
