@@ -12,7 +12,6 @@ repeated rows and ids, null ids and further columns are harmless; an empty table
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -73,43 +72,50 @@ def buckets(hashes: Column) -> Column:
     return F.concat(F.transform(hashes, to), F.transform(neighbours(hashes, 2), to))
 
 
-def fold(doc_id: Column) -> Column:
-    return F.coalesce(F.pmod(F.xxhash64(doc_id), F.lit(2)).cast("int"), F.lit(0))
+def fold(text: Column) -> Column:
+    """The half in which a text is counted; equal texts are in one half, and so are judged by the same counts."""
+    return F.pmod(F.xxhash64(text), F.lit(2)).cast("int")
 
 
 @dataclass
 class Model:
-    tables: list[list[float]]
+    """tables: t_half, t_ratio (the log-ratio of every bucket), one row a half."""
+
+    tables: DataFrame
     threshold: float
 
 
 def fit(docs: DataFrame, trusted: DataFrame) -> Model:
     """Log-ratios of the buckets and the threshold, from counts over all documents; trusted holds the doc_id of trusted documents.
 
-    Documents are counted in two halves, and each half gets its table from the other one's counts, so that no text is
-    measured by itself and labelled and unlabelled texts score alike, however few are labelled. The target is smoothed
-    towards the corpus.
+    Documents are counted in two halves by their text, and each half gets its table from the other one's counts, so that
+    no text is measured by itself, copies score alike, and labelled and unlabelled texts do, however few are labelled.
+    The two tables are two rows of a written table, broadcast by judge.
     """
     own = checked_broadcast(stash(trusted.select(F.col("doc_id").alias("t_id")).where("t_id is not null").distinct(), "trusted"))
-    each = hashed(docs.select("doc_id", "text")).select(F.col("row.doc_id").alias("doc_id"), buckets(F.col("hashes")).alias("grams"))
+    each = hashed(docs.select("doc_id", "text")).select(F.col("row.doc_id").alias("doc_id"), fold(F.col("text")).alias("half"), buckets(F.col("hashes")).alias("grams"))
     # explode would add a filter on the grams' size, which is pushed below and computes them all again
     grams = F.explode_outer("grams").alias("bucket")
-    marked = each.join(own, F.col("doc_id") == F.col("t_id"), "left").select(F.col("t_id").isNotNull().cast("long").alias("t"), fold(F.col("doc_id")).alias("half"), grams)
-    counts = marked.where("bucket is not null").groupBy("bucket", "half").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
-    target, raw = [[0.0] * BUCKETS for _ in range(2)], [[0.0] * BUCKETS for _ in range(2)]
-    for r in counts.collect():  # two rows a bucket at most
-        target[1 - r["half"]][r["bucket"]] = r["target"]
-        raw[1 - r["half"]][r["bucket"]] = r["raw"]
-    noise = BUCKETS / max(1.0, min(map(sum, target)))
-    return Model([log_ratio(t, r) for t, r in zip(target, raw, strict=True)], -(MARGIN + NOISE * noise))
-
-
-def log_ratio(target: list[float], raw: list[float]) -> list[float]:
-    all_t, all_r, prior = sum(target), sum(raw), SMOOTHING * BUCKETS
-    if not all_t:
-        return [0.0] * BUCKETS
-    chance = [(r + SMOOTHING) / (all_r + prior) for r in raw]
-    return [round(math.log((t / c + prior) / (all_t + prior)), 5) for t, c in zip(target, chance, strict=True)]
+    marked = each.join(own, F.col("doc_id") == F.col("t_id"), "left").select(F.col("t_id").isNotNull().cast("long").alias("t"), "half", grams)
+    counts = stash(marked.where("bucket is not null").groupBy("bucket", "half").agg(F.count("*").alias("raw"), F.sum("t").alias("target")), "grams")
+    spark = docs.sparkSession
+    sums = {1 - r["half"]: (r["t"], r["r"]) for r in counts.groupBy("half").agg(F.sum("target").alias("t"), F.sum("raw").alias("r")).collect()}
+    target, raw = ([sums.get(h, (0, 0))[i] for h in (0, 1)] for i in (0, 1))
+    every = spark.range(2 * BUCKETS).select((F.col("id") % BUCKETS).cast("int").alias("bucket"), F.floor(F.col("id") / BUCKETS).cast("int").alias("t_half"))
+    both = every.join(counts.withColumn("t_half", 1 - F.col("half")), ["bucket", "t_half"], "left")  # two rows a bucket
+    ratio = F.when(F.col("t_half") == 0, log_ratio(target[0], raw[0])).otherwise(log_ratio(target[1], raw[1]))
+    listed = F.sort_array(F.collect_list(F.struct("bucket", ratio.alias("ratio"))))
+    tables = both.groupBy("t_half").agg(F.transform(listed, lambda x: x["ratio"]).alias("t_ratio"))
+    return Model(stash(tables, "ratios"), -(MARGIN + NOISE * BUCKETS / max(1.0, min(target))))
+
+
+def log_ratio(all_target: int, all_raw: int) -> Column:
+    """Of a bucket with the counts target and raw; the target is smoothed towards the corpus."""
+    if not all_target:
+        return F.lit(0.0)
+    prior = SMOOTHING * BUCKETS
+    chance = (F.coalesce("raw", F.lit(0)) + SMOOTHING) / (all_raw + prior)
+    return F.round(F.log((F.coalesce("target", F.lit(0)) / chance + prior) / (all_target + prior)), 5)
 
 
 def summed(grams: str, ratio: Column) -> Column:
@@ -118,11 +124,10 @@ def summed(grams: str, ratio: Column) -> Column:
 
 def judge(docs: DataFrame, model: Model) -> DataFrame:
     """row (the input row), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, base_failed, kept."""
-    first, second = (F.split(F.lit(",".join(map(str, t))), ",").cast("array<double>") for t in model.tables)  # folded to literals
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     counted = hashed(docs).select(
         "row",
-        "hashes",
+        fold(F.col("text")).alias("half"),
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -130,8 +135,8 @@ def judge(docs: DataFrame, model: Model) -> DataFrame:
         neighbours(F.col("hashes"), WINDOW).alias("windows"),
         buckets(F.col("hashes")).alias("grams"),
     )
-    total = F.when(fold(F.col("row.doc_id")) == 0, summed("grams", first)).otherwise(summed("grams", second))
-    scored = counted.select(
+    total = summed("grams", F.col("t_ratio"))
+    scored = counted.join(F.broadcast(model.tables), F.col("half") == F.col("t_half"), "left").select(
         "row", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         repeated_words(F.col("windows"), WINDOW).alias("n_repeat_words"),
         F.coalesce(F.round(F.try_divide(total, F.size("grams")), 6), F.lit(0.0)).alias("llr"),
