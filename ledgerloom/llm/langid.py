@@ -3,7 +3,7 @@
 A text's vector is the mean of the embeddings of its hashed subword n-grams (3 and 4 bytes of lower-case UTF-8, with
 word edges); a linear softmax over it gives the languages. Embeddings and softmax are trained together by stochastic
 gradient descent in numpy on a bounded sample of labelled rows (PER_LANGUAGE a language, those with the least hash of
-their id). A part of the sample is kept from training and calibrates the model: a temperature is fitted to it, and the
+their id and text; LANGUAGES at most). A part of the sample is kept from training and calibrates the model: a temperature is fitted to it, and the
 probability that all but REJECT of its rows reach for their own language becomes the threshold under which a text is
 rejected. Whole texts are read, in pieces of bounded size.
 
@@ -24,15 +24,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.llm.common import blocks, checked_broadcast, crc_mod, release, stash
+from ledgerloom.llm.common import blocks, crc_mod, release, stash
 
 UNKNOWN = "und"
 #: Labelled rows of each language that training may use.
-PER_LANGUAGE = 500
+PER_LANGUAGE = 750
+#: Languages that training may learn, and steps of the histogram by which the sample is chosen.
+LANGUAGES, STEPS = 64, 8
 BUCKET_BITS, DIMENSIONS = 14, 8
 EPOCHS, BATCH, RATE = 12, 32, 4.0
 #: Every so many rows of the sample calibrate instead of training.
-CALIBRATE_EVERY = 5
+CALIBRATE_EVERY = 3
 #: The share of rows of known languages that calibration lets be rejected.
 REJECT = 0.002
 PIECE = 1 << 18
@@ -95,22 +97,44 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 # ------------------------------------------------------------------ training
 def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(language, buckets, counts) of the sample, in hash order. Ids are chosen first; only their texts are read."""
-    usable = F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    first = labelled.where(usable).select("doc_id", "lang").withColumn("l_nth", nth).where(F.col("l_nth") <= per_language)
-    ids = checked_broadcast(stash(first.drop("lang"), "sample"))
+    """(language, buckets, counts) of the sample: of each language the per_language texts of least hash.
+
+    A histogram of the hashes' logarithms (STEPS a power of two, so a bounded number of rows a language) gives the least
+    share of all texts that holds enough; only texts within it are read further, repeated ones once. No task has to hold
+    a language. The LANGUAGES most frequent values of lang are learned.
+    """
+    usable = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    key = F.xxhash64("doc_id", "text")
+    step = F.floor(-F.log2((F.shiftrightunsigned(key, 11) + 1) / float(1 << 53)) * STEPS).cast("int")
+    keyed = usable.select("lang", "text", key.alias("l_key"), step.alias("l_step"))
+    each = keyed.groupBy("lang", "l_key").agg(F.first("l_step").alias("l_step"))
+    hist = each.groupBy("lang", "l_step").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("lang").orderBy(F.desc("l_step")))
+    within = hist.withColumn("total", total - F.col("n")).where(F.col("total") < per_language).groupBy("lang").agg(F.min("l_step").alias("l_least"))
+    sizes = hist.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    least = stash(within.join(sizes, "lang").select("lang", "l_least"), "languages")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in batches:
             for part, texts in blocks(batch, "text"):
-                found = [np.unique(np.concatenate([ngrams(p) for p in pieces(t)]), return_counts=True) for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([a for a, _ in found], pa.list_(pa.int32())), pa.array([n for _, n in found], pa.list_(pa.int32()))], ["l_nth", "lang", "buckets", "counts"])
-
-    rows = labelled.where(usable).select("doc_id", "lang", "text").join(ids, "doc_id").select("l_nth", "lang", "text")
-    got = rows.mapInArrow(count, "l_nth int, lang string, buckets array<int>, counts array<int>").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["l_nth"], r["lang"], r["buckets"]))
-    return [(r["lang"], np.array(r["buckets"], np.intp), np.array(r["counts"], float)) for r in got if r["buckets"]]
+                new = [i for i, k in enumerate(part.column(0).to_pylist()) if not (k in met or met.add(k))]
+                found = [np.unique(np.concatenate([ngrams(p) for p in pieces(texts[i])]), return_counts=True) for i in new]
+                sizes = pa.array(np.cumsum([0, *(len(a) for a, _ in found)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(sizes, pa.array(np.concatenate([np.empty(0, np.int64), *x]), pa.int32())) for x in ([a for a, _ in found], [n for _, n in found])]
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(new, pa.int64())) for c in (0, 1)), *lists], ["l_key", "lang", "buckets", "counts"])
+
+    rows = keyed.join(F.broadcast(least), "lang").where(F.col("l_step") >= F.col("l_least")).select("l_key", "lang", "text")
+    got = rows.mapInArrow(count, "l_key long, lang string, buckets array<int>, counts array<int>").toArrow()
+    names, keys = got.column("lang").to_pylist(), got.column("l_key").to_numpy().view(np.uint64)
+    lists = [got.column(c).combine_chunks() for c in ("buckets", "counts")]
+    out, taken = [], {}
+    for i in np.argsort(keys, kind="stable"):
+        own = taken.setdefault(names[i], set())
+        if len(own) < per_language and keys[i] not in own and len(lists[0][i].values):
+            own.add(keys[i])
+            out.append((names[i], *(x[i].values.to_numpy().astype(kind) for x, kind in zip(lists, (np.intp, float), strict=True))))
+    return out
 
 
 def train(rows: list[tuple[str, np.ndarray, np.ndarray]], reject: float = REJECT, seed: int = 7) -> Model:
