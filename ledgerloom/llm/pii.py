@@ -3,10 +3,12 @@
 Candidates are found by one pattern and then validated: card numbers by their check digit, IBANs by their remainder,
 social security numbers by their ranges, addresses by their octets, dates by the calendar (1900 to 2099). A valid value
 becomes a list of numbers, each below a radix of its own (the letters and digits of an e-mail address, the digits of a
-card without its check digit, the octets of an address, a date's day number, ...). An unbalanced Feistel network with
+card without its check digit, the octets of an address, a date's year and place in it, ...). An unbalanced Feistel network with
 SHA-256 as its keyed round function permutes all lists of those radices, and the value is written again in its own
 format, check digits renewed, separators and letter case kept. Equal values of a kind therefore get equal pseudonyms in
-all documents, different ones different pseudonyms, and lengths stay. Separators and letter case do not enter the
+all documents, different ones different pseudonyms, and lengths stay. Days of the month up to 12, from 13 to 28, over 28
+and 29 February are permuted among themselves, so that all spellings of a date share one permutation and day and month
+are read from a pseudonym as they were from the date. Separators and letter case do not enter the
 permutation, so that spellings of one value stay linked, too.
 
 Values that fail validation, and texts without candidates, stay as they are. A null text stays null; an empty table
@@ -15,14 +17,20 @@ gives no rows. Rows are rewritten one by one, so repeated rows and ids and furth
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import let
 
 ROUNDS = 8
-#: The setting that holds the secret key, and the key where it is unset (for tests; a deployment sets its own).
-KEY_SETTING, TEST_KEY = "spark.ledgerloom.pii.key", "no secret"
+#: The setting that holds the secret key (its name is one that Spark redacts), and the key where it is unset: for tests.
+KEY_SETTING, TEST_KEY = "spark.ledgerloom.pii.secret.key", "no secret"
+#: Derived keys begin with this mark, by which session_key has Spark redact them in plans.
+MARK, REDACTION = "pii-key-", "spark.sql.redaction.string.regex"
 
 _NOT_INSIDE, _ENDS = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
@@ -43,8 +51,8 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 HINT = "[0-9@]"
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 FIRST_DAY, LAST_DAY = "1900-01-01", "2099-12-31"
-#: 73049 days in this range, as two radices.
-DAY_RADICES = (319, 229)
+#: The months and days over 28, without 29 February.
+MONTH_ENDS = [(m, d) for d in (29, 30, 31) for m in range(1, 13) if d <= (28 if m == 2 else 30 if m in (4, 6, 9, 11) else 31)]
 
 
 def chars(value: Column) -> Column:
@@ -176,28 +184,26 @@ def ssn(m: Column, key: str) -> Column:
 
 
 def day(date: Column, pattern: str, key: str) -> Column:
-    """Another day between FIRST_DAY and LAST_DAY, written by the same pattern; null for no date."""
-    n = F.datediff(date, F.lit(FIRST_DAY).cast("date"))
-    wide = DAY_RADICES[1]
-    moved = feistel(longs(F.floor(n / wide), F.pmod(n, F.lit(wide))), longs(*DAY_RADICES), key, "date")
-    back = let(moved, lambda v: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (F.get(v, 0) * wide + F.get(v, 1)).cast("int")), pattern))
-    return F.when(date.between(FIRST_DAY, LAST_DAY), back)
-
-
-def day_first(m: Column, key: str) -> Column:
-    """dd/MM/yyyy where dd is over 12, so that it is never read as MM/dd/yyyy: dd stays over 12, the rest moves with it."""
-    d, month, year = F.substring(m, 1, 2).cast("int"), F.substring(m, 4, 2).cast("int"), F.substring(m, 7, 4).cast("int")
-    valid = F.try_to_date(m, "dd/MM/yyyy").isNotNull() & (d > 12)
-    late, leap = d > 28, (d == 29) & (month == 2)
-    first, step = F.when(leap, 1904).otherwise(1900), F.when(leap, 4).otherwise(1)
-    values = longs(F.floor((year - first) / step), F.when(late, 0).otherwise(month - 1), F.when(late, 0).otherwise(d - 13))
-    radices = longs(F.when(leap, 49).otherwise(200), F.when(late, 1).otherwise(12), F.when(late, 1).otherwise(16))
-
-    def write(v: Column) -> Column:
-        own = F.when(late, d).otherwise(F.get(v, 2) + 13), F.when(late, month).otherwise(F.get(v, 1) + 1), F.get(v, 0) * step + first
-        return F.concat_ws("/", *(F.lpad(x.cast("string"), n, "0") for x, n in zip(own, (2, 2, 4), strict=True)))
-
-    return F.when(valid, let(feistel(values, radices, key, "day first"), write))
+    """Another day of the same class between FIRST_DAY and LAST_DAY, written by the same pattern; null for no date."""
+    d, month, year = F.day(date), F.month(date), F.year(date)
+    ends = F.array(*(F.lit(100 * m + n) for m, n in MONTH_ENDS))
+    written = lambda y, m, n: F.date_format(F.make_date(y.cast("int"), m.cast("int"), n.cast("int")), pattern)
+
+    def within(first: int, wide: int, kind: str) -> Column:
+        moved = feistel(longs(year - 1900, (month - 1) * wide + d - first), longs(200, 12 * wide), key, kind)
+        return let(moved, lambda v: written(F.get(v, 0) + 1900, F.floor(F.get(v, 1) / wide) + 1, F.pmod(F.get(v, 1), F.lit(wide)) + first))
+
+    late = feistel(longs(year - 1900, F.array_position(ends, 100 * month + d) - 1), longs(200, len(MONTH_ENDS)), key, "date:late")
+    end = lambda v: F.get(ends, F.get(v, 1).cast("int"))
+    leap = (year - 1904) / 4
+    leap_moved = feistel(longs(F.floor(leap / 7), F.pmod(leap, F.lit(7))), longs(7, 7), key, "date:leap")
+    new = (
+        F.when(d <= 12, within(1, 12, "date:early"))
+        .when(d <= 28, within(13, 16, "date:middle"))
+        .when((d == 29) & (month == 2), let(leap_moved, lambda v: written(1904 + 4 * (7 * F.get(v, 0) + F.get(v, 1)), F.lit(2), F.lit(29))))
+        .otherwise(let(late, lambda v: written(F.get(v, 0) + 1900, F.floor(end(v) / 100), F.pmod(end(v), F.lit(100)))))
+    )
+    return F.when(date.between(FIRST_DAY, LAST_DAY), new)
 
 
 def phone(m: Column, key: str) -> Column:
@@ -230,14 +236,15 @@ def pseudonym(m: Column, key: str) -> Column:
 
     def of(kind: Column) -> Column:
         date = lambda pattern: F.coalesce(day(F.try_to_date(m, pattern), pattern, key), m)
-        month_first = day(F.try_to_date(m, "MM/dd/yyyy"), "MM/dd/yyyy", key)
+        # a month is never over 12, so a text is a date in one of these orders only
+        slash = F.coalesce(day(F.try_to_date(m, "MM/dd/yyyy"), "MM/dd/yyyy", key), F.when(F.substring(m, 1, 2) > "12", day(F.try_to_date(m, "dd/MM/yyyy"), "dd/MM/yyyy", key)), m)
         new = (
             F.when(kind == "email", email(m, key))
             .when(kind == "secret", secret(m, key))
             .when(kind == "iban", iban(m, key))
             .when(kind == "ip", ip(m, key))
             .when(kind == "iso_date", date("yyyy-MM-dd"))
-            .when(kind == "slash_date", F.coalesce(month_first, day_first(m, key), m))
+            .when(kind == "slash_date", slash)
             .when(kind == "dot_date", date("dd.MM.yyyy"))
             .when(kind == "ssn", ssn(m, key))
             .when(kind == "card", card(m, key))
@@ -260,5 +267,19 @@ def pseudonyms(docs: DataFrame, key: str) -> DataFrame:
     return new.select("row", F.when(F.col("new").isNotNull(), joined).otherwise(F.col("text")).alias("text"), F.coalesce(kinds, F.array().cast("array<string>")).alias("kinds"))
 
 
+def derived(secret: str) -> str:
+    return MARK + hmac.new(secret.encode(), b"pseudonyms", hashlib.sha256).hexdigest()
+
+
 def session_key(spark: SparkSession) -> str:
-    return spark.conf.get(KEY_SETTING, TEST_KEY)
+    """A key derived from the session's secret; Spark shows neither of them.
+
+    Without a secret the public TEST_KEY is used, with a warning: its pseudonyms can be turned back by anyone.
+    """
+    secret = spark.conf.get(KEY_SETTING, None)
+    if secret is None:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms are made with the public test key", stacklevel=2)
+    hidden = spark.conf.get(REDACTION, None)
+    if MARK not in (hidden or ""):
+        spark.conf.set(REDACTION, f"{hidden}|{MARK}[0-9a-f]+" if hidden else f"{MARK}[0-9a-f]+")
+    return derived(TEST_KEY if secret is None else secret)

@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -39,26 +40,38 @@ def test_log_ratio_equals_a_loop(spark):
     docs = spark.createDataFrame(rows, SCHEMA).select("doc_id", "text")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 30, 2)], "doc_id long, quality int, toxic int")
     model = quality.fit(docs, labels)
-    halves = {r["doc_id"]: r["h"] for r in docs.select("doc_id", quality.fold(docs["doc_id"]).alias("h")).collect()}
+    tables = {r["t_half"]: r["t_ratio"] for r in model.tables.collect()}
     from pyspark.sql import functions as F
 
-    grams = quality.hashed(docs).select("row.doc_id", quality.buckets(F.col("hashes")).alias("g")).collect()
+    grams = quality.hashed(docs).select("row.doc_id", quality.fold(F.col("text")).alias("h"), quality.buckets(F.col("hashes")).alias("g")).collect()
     trusted = set(range(0, 30, 2))
     for half in (0, 1):
         raw, target = Counter(), Counter()
         for r in grams:
-            if halves[r["doc_id"]] != half:
+            if r["h"] != half:
                 raw.update(r["g"])
                 if r["doc_id"] in trusted:
                     target.update(r["g"])
-        table = quality.log_ratio([target[b] for b in range(quality.BUCKETS)], [raw[b] for b in range(quality.BUCKETS)])
-        assert table == model.tables[half]
+        all_t, all_r, b = sum(target.values()), sum(raw.values()), quality.BUCKETS
+        table = [math.log((target[i] * (all_r + b) / (raw[i] + 1) + b) / (all_t + b)) for i in range(b)]
+        assert all(abs(x - y) < 1.1e-5 for x, y in zip(table, tables[half], strict=True))
     got = {(r["row"]["doc_id"], r["row"]["text"]): r["llr"] for r in quality.judge(docs, model).collect()}
-    texts = [(r["doc_id"], r["g"]) for r in grams]
-    means = sorted(round(sum(model.tables[halves[i]][b] for b in g) / len(g), 4) if g else 0.0 for i, g in set((i, tuple(g)) for i, g in texts))
+    texts = [(r["doc_id"], r["h"], tuple(r["g"])) for r in grams]
+    means = sorted(round(sum(tables[h][b] for b in g) / len(g), 4) if g else 0.0 for _, h, g in set(texts))
     assert all(abs(a - b) < 2e-4 for a, b in zip(means, sorted(got.values()), strict=True))
 
 
+def test_equal_texts_score_alike(spark):
+    """Copies under other ids are judged by the same counts."""
+    rows = [(i + 5000 * k, t) for i, t, *_ in edge_rows() if i is not None for k in (0, 1)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 30, 2)], "doc_id long, quality int, toxic int")
+    judged = quality.quality(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    by_text = {}
+    for r in judged.select("row.text", "llr", "kept").collect():
+        by_text.setdefault(r["text"], set()).add((r["llr"], r["kept"]))
+    assert all(len(x) == 1 for x in by_text.values())
+
+
 def test_quality_without_target_and_empty(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality.quality(edge_docs(spark), none).collect()
@@ -101,9 +114,8 @@ def test_kinds(spark):
     card = "".join(map(str, digits))
     card += str((10 - luhn(card + "0")) % 10)
     assert luhn(card) == 0 and got[0].replace(" ", "") == card and got[1] == f"pay {card} now"
-    n = (datetime.date(1987, 3, 4) - datetime.date(1900, 1, 1)).days
-    high, low = feistel(divmod(n, 229), [319, 229], "date")
-    assert got[3] == str(datetime.date(1900, 1, 1) + datetime.timedelta(high * 229 + low))
+    year, low = feistel([87, 2 * 12 + 3], [200, 144], "date:early")
+    assert got[3] == str(datetime.date(1900 + year, low // 12 + 1, low % 12 + 1))
     assert int(got[4][:2]) > 12 and datetime.datetime.strptime(got[4], "%d/%m/%Y") and datetime.datetime.strptime(got[5], "%m/%d/%Y")
     least, many = (lambda o: 0 if o < 10 else 10 if o < 100 else 100), (lambda o: 10 if o < 10 else 90 if o < 100 else 156)
     own = [192, 168, 1, 77]
@@ -115,6 +127,92 @@ def test_kinds(spark):
     assert re.fullmatch(r'token = "[0-9a-f]{40}"', got[16]) and datetime.datetime.strptime(got[18], "%d/%m/%Y")
 
 
+def moved_day(d):
+    """The day that another day becomes, by plain numbers."""
+    ends = [(m, n) for n in (29, 30, 31) for m in range(1, 13) if n <= (28 if m == 2 else 30 if m in (4, 6, 9, 11) else 31)]
+    if (d.month, d.day) == (2, 29):
+        a, b = feistel(divmod((d.year - 1904) // 4, 7), [7, 7], "date:leap")
+        return datetime.date(1904 + 4 * (a * 7 + b), 2, 29)
+    if d.day > 28:
+        year, at = feistel([d.year - 1900, ends.index((d.month, d.day))], [200, 29], "date:late")
+        return datetime.date(1900 + year, *ends[at])
+    first, wide, kind = (1, 12, "date:early") if d.day <= 12 else (13, 16, "date:middle")
+    year, at = feistel([d.year - 1900, (d.month - 1) * wide + d.day - first], [200, 12 * wide], kind)
+    return datetime.date(1900 + year, at // wide + 1, at % wide + first)
+
+
+def test_all_spellings_of_a_day_stay_linked(spark):
+    days = [datetime.date(1999, 12, 31), datetime.date(2000, 2, 29), datetime.date(1904, 2, 29), datetime.date(1987, 3, 4), datetime.date(2024, 7, 13), datetime.date(1900, 1, 1), datetime.date(2099, 12, 28), datetime.date(1950, 6, 30), datetime.date(2010, 1, 29)]
+    styles = ["%Y-%m-%d", "%m/%d/%Y", "%d.%m.%Y", "%d/%m/%Y"]
+    got = rewritten(spark, [d.strftime(s) for d in days for s in styles if s != "%d/%m/%Y" or d.day > 12])
+    wanted = [moved_day(d).strftime(s) for d in days for s in styles if s != "%d/%m/%Y" or d.day > 12]
+    assert [r["text"] for r in got] == wanted
+
+
+def test_days_are_permuted():
+    every = [datetime.date(1900, 1, 1) + datetime.timedelta(i) for i in range(73049)]
+    some = [d for d in every if (d.month, d.day) == (2, 29) or d.year in (1900, 1950)]
+    moved = [moved_day(d) for d in some]
+    assert len(set(moved)) == len(some) and all((a.day > 12) == (b.day > 12) for a, b in zip(some, moved, strict=True))
+
+
+def respelled(values, alphabets, kind):
+    spots = [i for i, a in enumerate(alphabets) if len(a) > 1]
+    new = feistel([alphabets[i].index(values[i]) for i in spots], [len(alphabets[i]) for i in spots], kind)
+    out = list(values)
+    for i, v in zip(spots, new, strict=True):
+        out[i] = alphabets[i][v]
+    return "".join(out)
+
+
+def plain(c):
+    return next((a for a in (pii.DIGITS, pii.LOWER, pii.UPPER) if c in a), c)
+
+
+def test_other_kinds_equal_loops(spark):
+    token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    texts = ["a.b9@host.example.com", token, token.upper(), "GB82WEST12345698765432", "123-45-6789", "777-01-0001", "+1 (521) 555-6210", "+49 1512 3456789", "(212) 555-0100"]
+    got = [r["text"] for r in rewritten(spark, texts)]
+    assert got[0] == respelled("a.b9", [plain(c) for c in "a.b9"], "email") + "@host.example.com"
+    low = respelled(token, [pii.HEX] * len(token), "secret")
+    assert got[1:3] == [low, low.upper()]
+    body = respelled("WEST12345698765432", [plain(c) for c in "WEST12345698765432"], "iban")
+    check = 98 - int("".join(str(int(c, 36)) for c in body + "GB00")) % 97
+    assert got[3] == f"GB{check:02d}{body}"
+    for text, new in zip(texts[4:6], got[4:6], strict=True):
+        area, group, serial = map(int, text.split("-"))
+        a, g, s = feistel([area - 1 - (area > 666), group - 1, serial - 1], [898, 99, 9999], "ssn")
+        a += 1 + (a + 1 >= 666)
+        assert new == f"{a:03d}-{g + 1:02d}-{s + 1:04d}"
+    for text, new in zip(texts[6:], got[6:], strict=True):
+        digits = sum(c.isdigit() for c in text)
+        american, seen, own = digits == 10 or text.startswith("+1"), 0, []
+        for c in text:
+            if not c.isdigit():
+                own.append(c)
+                continue
+            after = digits - seen - 1
+            seen += 1
+            if text[0] == "+" and after >= (10 if american else 7):
+                own.append(c)
+            elif american and after in (9, 6):
+                own.append("23456789" if c >= "2" else "01")
+            else:
+                own.append(pii.DIGITS)
+        assert new == respelled(text, own, "phone")
+
+
+def test_the_key_is_derived_and_kept_out_of_plans(spark):
+    spark.conf.set(pii.KEY_SETTING, "the deployment's own")
+    try:
+        key = pii.session_key(spark)
+        docs = spark.createDataFrame([(1, "10.1.2.3")], "doc_id long, text string")
+        plan = pii.pseudonyms(docs, key)._jdf.queryExecution().toString()
+        assert "the deployment's own" not in plan and key not in plan and key != pii.derived(pii.TEST_KEY)
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_permutation_is_one_to_one(spark):
     texts = [f"10.0.{i}.{j}" for i in range(10) for j in range(10, 60)]
     got = [r["text"] for r in rewritten(spark, texts)]
