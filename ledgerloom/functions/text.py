@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,18 +14,19 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-ENDS = r"^\s+|\s+\z"
+#: Every character with Unicode's property White_Space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column | str) -> Column:
     """Without white space (of any script) at either end."""
-    return F.regexp_replace(col(c), f"(?U){ENDS}", "")
+    return F.btrim(col(c), F.lit(WHITE))
 
 
 def without(c: Column | str, words: list[str]) -> Column:
     """Stripped text; null and the given words (in any case) become ''."""
-    own = "|".join(re.escape(w) for w in words if w)
-    return F.regexp_replace(F.coalesce(col(c), F.lit("")), rf"(?iU)^\s*(?:{own})\s*\z|{ENDS}", "")
+    own = strip(F.coalesce(col(c), F.lit("")))
+    return F.when(F.lower(own).isin([w for w in words if w]), "").otherwise(own)
 
 
 def text(c: Column | str) -> Column:
@@ -37,9 +36,11 @@ def text(c: Column | str) -> Column:
 
 def number(c: Column | str) -> Column:
     """Broker-formatted number: currency, thousands and percent signs go, (x) is -x, anything else is 0."""
-    bare = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"(?U)^[\s$,%]+|[\s$,%]+\z|[$,%]", "")
-    signed = F.regexp_replace(bare, r"^\(([\s\S]*)\)\z", "-$1")
-    return F.coalesce(F.regexp_extract(signed, NUMBER, 0).try_cast("double"), F.lit(0.0))
+    bare = strip(F.translate(F.coalesce(col(c), F.lit("")), "$,%", ""))
+    negative = bare.startswith("(") & bare.endswith(")") & (F.length(bare) > 1)
+    signed = F.when(negative, F.concat(F.lit("-"), F.substr(bare, F.lit(2), F.length(bare) - 2))).otherwise(bare)
+    # one pattern guards the cast, which would take more than plain numbers (1d, NaN, ...)
+    return F.when(signed.rlike(NUMBER), signed.try_cast("double")).otherwise(0.0)
 
 
 def symbol(c: Column | str) -> Column:

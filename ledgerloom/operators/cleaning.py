@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import vocabulary as V
 from ledgerloom.functions.text import clean_cell, strip
-from ledgerloom.plans.cut import let
+from ledgerloom.functions.binding import let
 
 SPACES = r"(?U)\s+"
 

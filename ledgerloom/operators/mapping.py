@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom import vocabulary as V
+from ledgerloom.functions.cut import cut
 
 #: The maps that classification and routing need: (vocabulary, threshold) by name.
 WANTED = {
@@ -82,10 +83,18 @@ def header_maps(headers: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({n: [map_columns(h, v, t) for h in lists] for n, (v, t) in WANTED.items()})
 
 
+#: Distinct lists of headers whose maps are broadcast to the tables; more are joined by shuffle.
+BROADCAST_LISTS = 50_000
+
+
 def with_maps(tables: DataFrame) -> DataFrame:
-    """tables (headers) -> with maps: each distinct list of headers is matched once."""
-    maps = tables.select("headers").distinct().withColumn("maps", header_maps("headers"))
-    return tables.join(maps, "headers")
+    """tables (headers) -> with maps: each distinct list of headers is matched once; null headers map nothing.
+
+    The maps are written once and counted; while they are few the tables, which may share one layout, do not move.
+    """
+    maps = cut(tables.select(F.col("headers").alias("m_headers")).distinct().withColumn("maps", header_maps("m_headers")))
+    few = maps.limit(BROADCAST_LISTS + 1).count() <= BROADCAST_LISTS
+    return tables.join(F.broadcast(maps) if few else maps, tables["headers"].eqNullSafe(F.col("m_headers")), "left").drop("m_headers")
 
 
 def field_cell(cells: Column, headers: Column, chosen: Column, field: str) -> Column:

@@ -2,7 +2,8 @@
 
 * outcome: 'blank' and 'aggregate' (silently dropped), 'skip' (counted), 'record';
 * reason: why a row is skipped, else null;
-* the typed columns, in a struct ``record``; for holdings also ``issues``, the failed sanity checks.
+* the typed columns, in a struct ``record``; for holdings also ``issues``, the codes of failed sanity checks, and
+  ``issue_texts``, their sentences.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import vocabulary as V
 from ledgerloom.functions import text as X
+from ledgerloom.functions.binding import let
 
 FIELDS = {
     "holding": [f for f in V.HOLDING if f not in V.DISPLAY_ONLY],
@@ -57,22 +59,81 @@ def sanity_issues(symbol: Column, shares: Column, avg: Column, total: Column) ->
     )
 
 
-def sanity_note(row_idx: Column, symbol: Column, issues: Column) -> Column:
-    return F.when(F.size(issues) > 0, F.format_string("[sanity] Row %d [%s]: %s", row_idx, symbol, F.array_join(issues, "; ")))
+def sanity_note(row_idx: Column, symbol: Column, texts: Column) -> Column:
+    return F.when(F.size(texts) > 0, F.format_string("[sanity] Row %d [%s]: %s", row_idx, symbol, F.array_join(texts, "; ")))
+
+
+def sanity_texts(symbol: Column, shares: Column, avg: Column, total: Column) -> Column:
+    """The sentences of the failed checks, in the order of their codes; the wording is fixed."""
+    expected = shares * avg
+    share = F.abs(total - expected) / F.greatest(expected, F.lit(1.0))
+    few = short_number(shares)
+    texts = {
+        "shares_range": F.format_string("shares=%s out of expected range [0, 1B)", few),
+        "avg_cost_high": F.format_string(f"avg_cost=%.2f > ${V.AVG_COST_MAX:,} — unrealistic", avg),
+        "avg_cost_low": F.format_string("avg_cost=%s < %s — possible OCR garbage", plain_number(avg), F.lit(str(V.AVG_COST_MIN))),
+        "cost_mismatch": F.format_string("total_cost %.2f ≠ shares×avg_cost (%s×%.2f=%.2f, diff %s%%)", total, few, avg, expected, F.bround(share * 100, 0).cast("decimal(38,0)").cast("string")),
+        "fund_cost_high": F.format_string("avg_cost=%.2f seems high for fund-like symbol '%s' — possible OCR misread", avg, symbol),
+        "few_shares_high_cost": F.format_string("avg_cost=%.2f with only %s shares — cross-check manually", avg, few),
+    }
+    said = F.lit(None).cast("string")
+
+    def sentence(code: Column) -> Column:
+        out = said
+        for name, text in texts.items():
+            out = F.when(code == name, text).otherwise(out)
+        return out
+
+    return F.transform(sanity_issues(symbol, shares, avg, total), sentence)
+
+
+def exponent_form(digits: Column, power: Column) -> Column:
+    """Two digits of exponent at least, with its sign."""
+    return F.concat(digits, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+
+
+def tidy(s: Column) -> Column:
+    return F.when(F.instr(s, ".") > 0, F.rtrim(F.rtrim(s, F.lit("0")), F.lit("."))).otherwise(s)
+
+
+def short_number(x: Column) -> Column:
+    """Four significant digits, without trailing zeros; an exponent for what is below 0.0001 or has over four digits."""
+    exponent = F.substring_index(F.format_string("%.3e", x), "e", -1).cast("int")
+    even = F.coalesce(*(F.when(exponent == p, F.bround(x, 3 - p)) for p in range(-4, 13)), x)  # ties go to the even digit
+    scientific = F.format_string("%.3e", even)
+    power = F.substring_index(scientific, "e", -1).cast("int")
+    plain = F.coalesce(*(F.when(power == p, F.format_string(f"%.{3 - p}f", even)) for p in range(-4, 4)))
+    return F.when(x == 0, "0").when((power < -4) | (power >= 4), exponent_form(tidy(F.substring_index(scientific, "e", 1)), power)).otherwise(tidy(plain))
+
+
+def plain_number(x: Column) -> Column:
+    """A small number as short as it reads back: decimal from 0.0001 on, else with an exponent."""
+    text = x.cast("string")
+    power = F.substring_index(text, "E", -1).cast("int")
+    decimal = tidy(x.try_cast("decimal(38,20)").cast("string"))
+    return F.when(~text.contains("E"), text).when(x >= 0.0001, decimal).otherwise(exponent_form(tidy(F.substring_index(text, "E", 1)), power))
 
 
 def parse_holdings(rows: DataFrame) -> DataFrame:
-    shares, total = X.number("shares"), X.number("total_cost")
-    done = outcome(rows, [("missing_shares", (shares == 0) & absent("shares"))], aggregates=True)
+    """Numbers are bound once: record, issues and notes read the bound values."""
+    done = outcome(rows, [("missing_shares", (X.number("shares") == 0) & absent("shares"))], aggregates=True)
+    numbers = F.struct(*(X.number(c).alias(c) for c in ("shares", "avg_cost_per_share", "total_cost")))
+    avg = lambda n: average_cost(n["avg_cost_per_share"], n["total_cost"], n["shares"])
+    bound = let(numbers, lambda n: F.struct(n["shares"].alias("shares"), avg(n).alias("avg"), n["total_cost"].alias("total")))
+    kept = F.col("outcome") == "record"
+    checked = lambda n, symbol: F.struct(
+        n.alias("n"), symbol.alias("symbol"), sanity_issues(symbol, n["shares"], n["avg"], n["total"]).alias("issues"),
+        sanity_texts(symbol, n["shares"], n["avg"], n["total"]).alias("texts"),
+    )
+    own = done.withColumn("bound", let(bound, lambda n: let(X.symbol("symbol"), lambda s: checked(n, s))))
     record = F.struct(
-        F.lit("broker_holding").alias("dto_type"), X.symbol("symbol").alias("symbol"), X.text("name").alias("name"),
-        shares.alias("shares"), average_cost(X.number("avg_cost_per_share"), total, shares).alias("avg_cost_per_share"), total.alias("total_cost"),
+        F.lit("broker_holding").alias("dto_type"), F.col("bound.symbol").alias("symbol"), X.text("name").alias("name"),
+        F.col("bound.n.shares").alias("shares"), F.col("bound.n.avg").alias("avg_cost_per_share"), F.col("bound.n.total").alias("total_cost"),
         X.side("side").alias("side"), X.date_text("first_trading_date").alias("first_trading_date"), X.date_text("last_trading_date").alias("last_trading_date"),
         X.number("day_gain").alias("day_gain"), X.number("overall_gain").alias("overall_gain"), X.number("overall_gain_pct").alias("overall_gain_pct"),
     )
-    own = done.withColumn("record", record)
-    issues = sanity_issues(*(F.col(f"record.{c}") for c in ("symbol", "shares", "avg_cost_per_share", "total_cost")))
-    return own.withColumn("issues", F.when(F.col("outcome") == "record", issues).otherwise(F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    return own.withColumns({"record": record, "issues": F.when(kept, F.col("bound.issues")).otherwise(none), "issue_texts": F.when(kept, F.col("bound.texts")).otherwise(none)}).drop("bound")
 
 
 def parse_constituents(rows: DataFrame) -> DataFrame:

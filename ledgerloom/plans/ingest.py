@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import messages as M
 from ledgerloom.functions.text import round_half_even
 from ledgerloom.operators import classify, cleaning, mapping, records, repair, rollup
-from ledgerloom.plans.cut import cut
+from ledgerloom.functions.cut import cut
 from ledgerloom.sources import files
 
 ROUTES = {"holding": "holding", "constituent_holding": "constituent", "transaction": "transaction", "rebalance_plan": "rebalance"}
@@ -19,7 +19,7 @@ ROUTES = {"holding": "holding", "constituent_holding": "constituent", "transacti
 
 @dataclass
 class Ingested:
-    """What an ingestion gives, all lazy: records by type, every row's outcome, and the summaries."""
+    """What an ingestion gives: lazy frames over the tables that were written while it was built; records by type, every row's outcome, and the summaries."""
 
     records: dict[str, DataFrame]
     outcomes: DataFrame
@@ -51,7 +51,7 @@ def parse(routed: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
         own = rows.where(kind == name)
         cells = mapping.project(own, F.col(f"maps.{vocabulary}"), records.FIELDS[name]).select("doc_id", "table_index", "row_idx", *records.FIELDS[name])
         done = records.PARSERS[name](cells)
-        issues = F.col("issues") if name == "holding" else F.array().cast("array<string>")
+        issues = F.col("issue_texts") if name == "holding" else F.array().cast("array<string>")
         outcomes.append(
             done.select(
                 "doc_id", "table_index", F.lit(name).alias("table_type"), "row_idx", "outcome", "reason", (F.size(issues) > 0).alias("suspicious"),
@@ -89,7 +89,7 @@ def ingest_tables(documents: DataFrame, raw: DataFrame, early: DataFrame) -> Ing
     found, outcomes = parse(routed)
     tables = rollup.summarise_tables(outcomes)
     tables = tables.withColumn("row_count", F.when(F.col("table_type").isNotNull(), F.col("row_count")))
-    per = rollup.summarise_documents(tables)
+    per = rollup.summarise_documents(tables, early.select("doc_id"))
     refused = classes.where(~F.col("is_financial")).join(early.select("doc_id"), "doc_id", "left_anti")
     errors = early.unionByName(refused.select("doc_id", F.lit("classification").alias("stage"), rollup.error_type(F.col("doc_type")).alias("error_type"), F.col("reason").alias("message")))
     warnings = route_warnings(routed).unionByName(rollup.table_warnings(tables))
@@ -112,11 +112,13 @@ def ingest_tables(documents: DataFrame, raw: DataFrame, early: DataFrame) -> Ing
 def ingest(spark: SparkSession, paths: str | list[str]) -> Ingested:
     """Ingest files: CSV, XLSX, DOCX, and what decoders are registered for. Errors are rows; no file is lost."""
     documents = files.read_documents(spark, paths)
+    missing = files.missing_paths(spark, paths)
     readable = documents.where(~F.col("category").isin("unsupported", "unknown"))
-    decoded = files.decode(readable)
+    decoded = cut(files.decode(readable))
     failed = decoded.where("error is not null").select("doc_id", F.lit("extraction").alias("stage"), F.substring_index("error", ":", 1).alias("error_type"), F.col("error").alias("message"))
     raw = files.first_pass(decoded.where("error is null")).select("doc_id", "table_index", "headers", "cells")
-    return ingest_tables(documents, raw, files.routing_errors(documents).unionByName(failed))
+    listed = documents.select("doc_id").unionByName(missing.select("doc_id"))
+    return ingest_tables(listed, raw, files.routing_errors(documents).unionByName(failed).unionByName(files.missing_errors(missing)))
 
 
 __all__ = ["Ingested", "ingest", "ingest_tables", "parse", "round_half_even", "routed_tables"]

@@ -9,10 +9,12 @@ be registered, and without one a file gives an error that says what is missing.
 from __future__ import annotations
 
 import csv
+import datetime as dt
 import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -28,13 +30,41 @@ RAW = "doc_id string, pass_no int, table_index int, headers array<string>, cells
 Decoder = Callable[[bytes], list[tuple[int, list[str], list[list[str]]]]]
 
 
+def existing(spark: SparkSession, paths: str | list[str]) -> tuple[list[str], list[str]]:
+    """(paths that stand for a file or folder, paths that do not)."""
+    there, gone = [], []
+    for p in [paths] if isinstance(paths, str) else paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        hits = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+        (there if hits else gone).append(p)
+    return there, gone
+
+
 def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """doc_id (the path), path, suffix, category, n_bytes, content. The engine leaves out files of no bytes."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    own = found.select(F.col("path").alias("doc_id"), "path", suffix("path").alias("suffix"), F.col("length").alias("n_bytes"), "content")
+    """doc_id (the path), path, suffix, category, n_bytes, content; paths that do not exist are left to missing_paths.
+
+    The engine does not read files of no bytes, so these are added from its own listing.
+    """
+    there, _ = existing(spark, paths)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    found = reader.load(there) if there else spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
+    listed = [re.sub(r"^file:/+", "file:/", unquote(f)) for f in found.inputFiles()] if there else []
+    every = spark.createDataFrame([(f,) for f in listed], "path string")
+    empty = every.join(found.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+    both = found.select("path", "length", "content").unionByName(empty)
+    own = both.select(F.col("path").alias("doc_id"), "path", suffix("path").alias("suffix"), F.col("length").alias("n_bytes"), "content")
     return own.withColumn("category", category("suffix"))
 
 
+def missing_paths(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """doc_id (the path as given) of paths that do not exist."""
+    return spark.createDataFrame([(p,) for p in existing(spark, paths)[1]], "doc_id string")
+
+
+def missing_errors(missing: DataFrame) -> DataFrame:
+    return missing.select("doc_id", F.lit("extraction").alias("stage"), F.lit("FileNotFoundError").alias("error_type"), M.file_not_found(F.col("doc_id")).alias("message"))
+
+
 def decode_csv(content: bytes) -> list[tuple[int, list[str], list[list[str]]]]:
     """All text; the usual missing-value words become ''; blank lines are skipped."""
     frame = pd.read_csv(io.BytesIO(content), dtype=str).fillna("")
@@ -54,13 +84,41 @@ def cell_place(ref: str) -> int:
     return n - 1
 
 
+def spoken(item: ElementTree.Element | None) -> str:
+    """The text of a string item: its own or its runs', without phonetic guides."""
+    return "" if item is None else "".join(t.text or "" for part in item if part.tag != f"{S}rPh" for t in part.iter(f"{S}t"))
+
+
+#: The built-in number formats that are dates or times.
+DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+
+
+def date_styles(styles: ElementTree.Element) -> set[str]:
+    """Cell styles (by number) whose number format shows a date or time."""
+    shown = lambda code: re.search("[dmyhs]", re.sub(r'"[^"]*"|\\.|\[[^\]]*\]|_.|\*.', "", code.split(";")[0].lower())) is not None
+    own = {int(f.get("numFmtId")) for f in styles.iter(f"{S}numFmt") if shown(f.get("formatCode", ""))}
+    cells = styles.find(f"{S}cellXfs")
+    return {str(i) for i, x in enumerate([] if cells is None else cells) if int(x.get("numFmtId", 0)) in DATE_FORMATS | own}
+
+
+def serial_date(days: float, epoch: dt.datetime) -> str:
+    """A day number with its time as text; under one day it is a time."""
+    if days < 1 and epoch.year == 1899:
+        return str((epoch + dt.timedelta(seconds=round(days * 86400))).time())
+    day = days + 1 if epoch.year == 1899 and days < 60 else days  # the first sheets counted a 29 February 1900
+    return str(epoch + dt.timedelta(seconds=round(day * 86400)))
+
+
 def decode_xlsx(content: bytes) -> list[tuple[int, list[str], list[list[str]]]]:
-    """Every sheet is a table of texts, its first row the header."""
+    """Every sheet is a table of texts, its first row the header; dates by their number format, booleans as words."""
     book = zipfile.ZipFile(io.BytesIO(content))
     names = set(book.namelist())
     shared = []
     if "xl/sharedStrings.xml" in names:
-        shared = ["".join(t.text or "" for t in item.iter(f"{S}t")) for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{S}si")]
+        shared = [spoken(item) for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{S}si")]
+    dated = date_styles(ElementTree.fromstring(book.read("xl/styles.xml"))) if "xl/styles.xml" in names else set()
+    first = ElementTree.fromstring(book.read("xl/workbook.xml")).find(f"{S}workbookPr")
+    epoch = dt.datetime(1904, 1, 1) if first is not None and first.get("date1904") in ("1", "true") else dt.datetime(1899, 12, 30)
     targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
     out = []
     for sheet in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{S}sheet"):
@@ -72,10 +130,21 @@ def decode_xlsx(content: bytes) -> list[tuple[int, list[str], list[list[str]]]]:
             for c in row.iter(f"{S}c"):
                 at = cell_place(c.get("r")) if c.get("r") else len(cells)
                 value = c.find(f"{S}v")
-                if c.get("t") == "inlineStr":
-                    cells[at] = "".join(t.text or "" for t in c.iter(f"{S}t"))
-                elif value is not None and value.text is not None:
-                    cells[at] = shared[int(value.text)] if c.get("t") == "s" else value.text
+                kind = c.get("t", "n")
+                if kind == "inlineStr":
+                    cells[at] = spoken(c.find(f"{S}is"))
+                elif value is None or value.text is None:
+                    continue
+                elif kind == "s":
+                    cells[at] = shared[int(value.text)]
+                elif kind == "b":
+                    cells[at] = "True" if value.text == "1" else "False"
+                elif kind == "e":
+                    cells[at] = ""
+                elif kind == "n" and c.get("s") in dated:
+                    cells[at] = serial_date(float(value.text), epoch)
+                else:
+                    cells[at] = value.text
             rows.append([cells.get(i, "") for i in range(max(cells, default=-1) + 1)])
         if rows:
             width = max(map(len, rows))
@@ -89,11 +158,20 @@ NA_WORDS = {"", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan"
 
 
 def decode_docx(content: bytes) -> list[tuple[int, list[str], list[list[str]]]]:
-    """Every Word table of two rows or more, its first row the header."""
-    body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml"))
+    """Every Word table of the body of two rows or more, its first row the header; a merged cell stands in all its places."""
+    body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml")).find(f"{W}body")
     out = []
-    for table in body.iter(f"{W}tbl"):
-        rows = [["\n".join("".join(t.text or "" for t in p.iter(f"{W}t")) for p in cell.iter(f"{W}p")).strip() for cell in row.findall(f"{W}tc")] for row in table.findall(f"{W}tr")]
+    for table in body.findall(f"{W}tbl"):
+        rows: list[list[str]] = []
+        for row in table.findall(f"{W}tr"):
+            cells: list[str] = []
+            for cell in row.findall(f"{W}tc"):
+                span, down = cell.find(f"{W}tcPr/{W}gridSpan"), cell.find(f"{W}tcPr/{W}vMerge")
+                text = "\n".join("".join(t.text or "" for t in p.iter(f"{W}t")) for p in cell.findall(f"{W}p")).strip()
+                if down is not None and down.get(f"{W}val") != "restart" and rows and len(cells) < len(rows[-1]):
+                    text = rows[-1][len(cells)]
+                cells += [text] * (int(span.get(f"{W}val")) if span is not None else 1)
+            rows.append(cells)
         if len(rows) >= 2:
             out.append((1, rows[0], rows[1:]))
     if not out:

@@ -5,10 +5,12 @@ import zipfile
 
 import pytest
 
-from ledgerloom.operators import grid
+from ledgerloom.operators import grid, records
 from ledgerloom.operators.cleaning import normalise, normalise_pdf
+from ledgerloom.operators.mapping import with_maps
 from ledgerloom.plans.ingest import ingest
 from ledgerloom.plans.response import response
+from ledgerloom.sources import files
 from ledgerloom.streaming.files import ingest_stream
 
 HOLDINGS = """Symbol,Name,Shares,Avg Cost,Total Cost,Side,First Trading Date,Last Trading Date
@@ -147,3 +149,77 @@ def test_token_tables(spark):
     tokens = [(1, 1, 10 * i + j, 30.0 * i + j, float(x), w) for i, row in enumerate(rows) for j, (x, w) in enumerate(zip((50, 200, 350), row, strict=True))]
     got = grid.token_tables(spark.createDataFrame(tokens, "doc_id int, page int, seq int, y double, x double, text string")).first()
     assert got["headers"] == rows[1] and got["cells"] == rows[2:]
+
+
+def test_files_of_no_bytes_and_missing_paths_are_rows(spark, tmp_path):
+    (tmp_path / "some folder").mkdir()
+    (tmp_path / "some folder" / "zero.csv").write_bytes(b"")
+    (tmp_path / "some folder" / "holdings.csv").write_text(HOLDINGS)
+    done = ingest(spark, [str(tmp_path / "some folder"), str(tmp_path / "gone.csv")])
+    got = by_file(done.results)
+    assert {k: r["status"] for k, r in got.items()} == {"zero.csv": "failed", "holdings.csv": "success", "gone.csv": "failed"}
+    errors = {k: r["errors"][0] for k, r in got.items() if r["errors"]}
+    assert errors["zero.csv"]["error_type"] == "EmptyDataError" and errors["zero.csv"]["stage"] == "extraction"
+    assert errors["gone.csv"]["error_type"] == "FileNotFoundError" and "gone.csv" in errors["gone.csv"]["message"]
+    alone = ingest(spark, str(tmp_path / "gone.csv")).results.collect()
+    assert [r["status"] for r in alone] == ["failed"]
+
+
+def test_xlsx_dates_booleans_and_phonetic_guides(tmp_path):
+    path = tmp_path / "dates.xlsx"
+    xlsx(path)
+    styles = f'<styleSheet {S}><numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm\\-dd"/><numFmt numFmtId="165" formatCode="0.00&quot;d&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/><xf numFmtId="21"/></cellXfs></styleSheet>'
+    cells = '<c r="A1" t="inlineStr"><is><t>a</t><rPh sb="0" eb="1"><t>guide</t></rPh></is></c><c r="B1" t="inlineStr"><is><r><t>x</t></r><r><t>y</t></r></is></c>'
+    row = '<c r="A2" s="1"><v>45301</v></c><c r="B2" s="2"><v>45301.5</v></c><c r="C2" s="3"><v>45301</v></c><c r="D2" s="4"><v>0.25</v></c><c r="E2" t="b"><v>1</v></c><c r="F2" t="e"><v>#REF!</v></c><c r="G2" s="1"><v>1</v></c>'
+    with zipfile.ZipFile(tmp_path / "own.xlsx", "w") as z, zipfile.ZipFile(path) as old:
+        for name in old.namelist():
+            if not name.endswith("s.xml") or name.endswith("sharedStrings.xml"):
+                z.writestr(name, old.read(name))
+        z.writestr("xl/styles.xml", styles)
+        z.writestr("xl/worksheets/s.xml", f'<worksheet {S}><sheetData><row r="1">{cells}</row><row r="2">{row}</row></sheetData></worksheet>')
+    ((_, headers, rows),) = files.decode_xlsx((tmp_path / "own.xlsx").read_bytes())
+    assert headers[:2] == ["a", "xy"]
+    assert rows == [["2024-01-10 00:00:00", "2024-01-10 12:00:00", "45301", "06:00:00", "True", "", "1900-01-01 00:00:00"]]
+
+
+def test_docx_merged_cells_and_nested_tables(tmp_path):
+    text = lambda x: f"<w:p><w:r><w:t>{x}</w:t></w:r></w:p>"
+    cell = lambda x, how="": f"<w:tc><w:tcPr>{how}</w:tcPr>{text(x)}</w:tc>"
+    nested = f"<w:tc><w:tbl><w:tr>{cell('inner')}</w:tr><w:tr>{cell('inner 2')}</w:tr></w:tbl>{text('c')}</w:tc>"
+    body = f"<w:tr>{cell('wide', '<w:gridSpan w:val=\"2\"/>')}{cell('h')}</w:tr><w:tr>{cell('tall', '<w:vMerge w:val=\"restart\"/>')}{cell('b')}{nested}</w:tr><w:tr>{cell('', '<w:vMerge/>')}{cell('d')}{cell('e')}</w:tr>"
+    path = tmp_path / "m.docx"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {W}><w:body><w:tbl>{body}</w:tbl></w:body></w:document>")
+    assert files.decode_docx(path.read_bytes()) == [(1, ["wide", "wide", "h"], [["tall", "b", "c"], ["tall", "d", "e"]])]
+
+
+def test_null_headers_stay(spark):
+    tables = spark.createDataFrame([(1, ["symbol", "shares"]), (2, None), (3, [])], "doc_id int, headers array<string>")
+    got = {r["doc_id"]: r["maps"] for r in with_maps(tables).collect()}
+    assert got.keys() == {1, 2, 3} and got[1]["holding"] and not got[2]["holding"] and not got[3]["holding"]
+
+
+def test_sanity_sentences(spark):
+    rows = [("AB", "-5", "10", ""), ("AB", "1e10", "", ""), ("AB", "10", "20000000", "200000000"), ("AB", "10", "0.00001", ""), ("AB", "12.5", "100", "2000"), ("LONGFUND", "500", "250", ""), ("AB", "7", "1500", ""), ("AB", "10", "100", "1000")]
+    own = spark.createDataFrame([(i, *r, *[None] * 7) for i, r in enumerate(rows)], "i int, symbol string, shares string, avg_cost_per_share string, total_cost string, name string, side string, first_trading_date string, last_trading_date string, day_gain string, overall_gain string, overall_gain_pct string")
+    got = {r["i"]: r["issue_texts"] for r in records.parse_holdings(own).collect()}
+    assert got[0] == ["shares=-5 out of expected range [0, 1B)"] and got[1] == ["shares=1e+10 out of expected range [0, 1B)"]
+    assert got[2][0].startswith("avg_cost=20000000.00 > $") and got[3][0].startswith("avg_cost=1e-05 < ")
+    assert got[4] == ["total_cost 2000.00 ≠ shares×avg_cost (12.5×100.00=1250.00, diff 60%)"]
+    assert got[5] == ["avg_cost=250.00 seems high for fund-like symbol 'LONGFUND' — possible OCR misread"]
+    assert got[6] == ["avg_cost=1500.00 with only 7 shares — cross-check manually"] and got[7] == []
+
+
+def test_short_numbers_like_a_plain_formatter(spark):
+    values = [0.0, 1.0, 12.5, 1234.0, 12345.0, 99999.0, 0.00012345, 0.00001, 1e10, 5.25e-7, 999.96, 0.1]
+    frame = spark.createDataFrame([(v,) for v in values], "x double")
+    got = frame.select(records.short_number(frame.x).alias("s"), records.plain_number(frame.x).alias("p")).collect()
+    assert [r["s"] for r in got] == [f"{v:.4g}" for v in values]
+    assert [r["p"] for v, r in zip(values, got, strict=True) if 0 < v < 1] == [str(v) for v in values if 0 < v < 1]
+
+
+def test_numbers_are_bound_once(spark):
+    """The plan of holdings with their checks has a bounded number of patterns."""
+    own = spark.createDataFrame([], "symbol string, shares string, avg_cost_per_share string, total_cost string, name string, side string, first_trading_date string, last_trading_date string, day_gain string, overall_gain string, overall_gain_pct string")
+    plan = records.parse_holdings(own).select("record", "issues")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("RLIKE") <= 16 and "regexp_replace" not in plan
