@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ledgerloom import vocabulary as V
 
-NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"
-
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -16,6 +14,9 @@ def col(c: Column | str) -> Column:
 
 #: Every character with Unicode's property White_Space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_BARE, _SPACE = r"(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", f"[{WHITE}]*"
+#: A signed number, or one without a sign in brackets.
+NUMBER = rf"^{_SPACE}([+-]?{_BARE}|\({_BARE}\)){_SPACE}\z"
 
 
 def strip(c: Column | str) -> Column:
@@ -36,11 +37,9 @@ def text(c: Column | str) -> Column:
 
 def number(c: Column | str) -> Column:
     """Broker-formatted number: currency, thousands and percent signs go, (x) is -x, anything else is 0."""
-    bare = strip(F.translate(F.coalesce(col(c), F.lit("")), "$,%", ""))
-    negative = bare.startswith("(") & bare.endswith(")") & (F.length(bare) > 1)
-    signed = F.when(negative, F.concat(F.lit("-"), F.substr(bare, F.lit(2), F.length(bare) - 2))).otherwise(bare)
-    # one pattern guards the cast, which would take more than plain numbers (1d, NaN, ...)
-    return F.when(signed.rlike(NUMBER), signed.try_cast("double")).otherwise(0.0)
+    own = F.coalesce(col(c), F.lit(""))
+    # the pattern guards the cast, which would take more than plain numbers (1d, NaN, ...)
+    return F.when(F.translate(own, "$,%", "").rlike(NUMBER), F.translate(own, "($,%)" + WHITE, "-").try_cast("double")).otherwise(0.0)
 
 
 def symbol(c: Column | str) -> Column:

@@ -63,8 +63,8 @@ def sanity_note(row_idx: Column, symbol: Column, texts: Column) -> Column:
     return F.when(F.size(texts) > 0, F.format_string("[sanity] Row %d [%s]: %s", row_idx, symbol, F.array_join(texts, "; ")))
 
 
-def sanity_texts(symbol: Column, shares: Column, avg: Column, total: Column) -> Column:
-    """The sentences of the failed checks, in the order of their codes; the wording is fixed."""
+def sanity_texts(issues: Column, symbol: Column, shares: Column, avg: Column, total: Column) -> Column:
+    """The sentences of failed checks, in the order of their codes; the wording is fixed."""
     expected = shares * avg
     share = F.abs(total - expected) / F.greatest(expected, F.lit(1.0))
     few = short_number(shares)
@@ -84,7 +84,7 @@ def sanity_texts(symbol: Column, shares: Column, avg: Column, total: Column) ->
             out = F.when(code == name, text).otherwise(out)
         return out
 
-    return F.transform(sanity_issues(symbol, shares, avg, total), sentence)
+    return F.transform(issues, sentence)
 
 
 def exponent_form(digits: Column, power: Column) -> Column:
@@ -121,11 +121,9 @@ def parse_holdings(rows: DataFrame) -> DataFrame:
     avg = lambda n: average_cost(n["avg_cost_per_share"], n["total_cost"], n["shares"])
     bound = let(numbers, lambda n: F.struct(n["shares"].alias("shares"), avg(n).alias("avg"), n["total_cost"].alias("total")))
     kept = F.col("outcome") == "record"
-    checked = lambda n, symbol: F.struct(
-        n.alias("n"), symbol.alias("symbol"), sanity_issues(symbol, n["shares"], n["avg"], n["total"]).alias("issues"),
-        sanity_texts(symbol, n["shares"], n["avg"], n["total"]).alias("texts"),
-    )
-    own = done.withColumn("bound", let(bound, lambda n: let(X.symbol("symbol"), lambda s: checked(n, s))))
+    own = done.withColumn("bound", let(bound, lambda n: F.struct(n.alias("n"), X.symbol("symbol").alias("symbol"))))
+    n = [F.col(c) for c in ("bound.symbol", "bound.n.shares", "bound.n.avg", "bound.n.total")]
+    issues = sanity_issues(*n)
     record = F.struct(
         F.lit("broker_holding").alias("dto_type"), F.col("bound.symbol").alias("symbol"), X.text("name").alias("name"),
         F.col("bound.n.shares").alias("shares"), F.col("bound.n.avg").alias("avg_cost_per_share"), F.col("bound.n.total").alias("total_cost"),
@@ -133,7 +131,7 @@ def parse_holdings(rows: DataFrame) -> DataFrame:
         X.number("day_gain").alias("day_gain"), X.number("overall_gain").alias("overall_gain"), X.number("overall_gain_pct").alias("overall_gain_pct"),
     )
     none = F.array().cast("array<string>")
-    return own.withColumns({"record": record, "issues": F.when(kept, F.col("bound.issues")).otherwise(none), "issue_texts": F.when(kept, F.col("bound.texts")).otherwise(none)}).drop("bound")
+    return own.withColumns({"record": record, "issues": F.when(kept, issues).otherwise(none), "issue_texts": F.when(kept, sanity_texts(issues, *n)).otherwise(none)}).drop("bound")
 
 
 def parse_constituents(rows: DataFrame) -> DataFrame:
