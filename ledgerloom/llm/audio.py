@@ -1,29 +1,37 @@
 """Audio features of media columns: polyphase resampling, log-mel filterbanks, hysteresis energy segments.
 
-``store_audio`` keeps a payload losslessly as the 8-bit samples of a WAV file in a binary column; ``audio_features``
-reads the stored bytes back and computes, for each row by itself (so equal payloads give equal values whatever stands
-beside them): samples resampled by a rational factor with a polyphase filter, overlapped Hann frames, a mel filterbank
-in decibels, and the segments whose energy rises above an upper and stays above a lower threshold. Features come as
-tensors of one fixed shape (CHUNK_FRAMES x MELS, the last one padded), each with its time span; ``arrow_tensors``
-makes an Arrow fixed-shape tensor array of them. Frames are computed in blocks, so memory does not grow with a payload.
-
-Null and empty payloads are stored as one block of zeros. Repeated rows and ids give repeated rows; an empty table
-gives no rows; further columns are ignored.
+1. ``store_audio`` writes every payload losslessly as the 8-bit samples of a WAV file in a binary column.
+2. ``store_features`` reads the stored bytes back and computes, for each row by itself (so equal payloads give equal
+   values whatever stands beside them): samples resampled by a rational factor with a polyphase filter, overlapped Hann
+   frames, a mel filterbank in decibels, and the segments whose energy rises above an upper and stays above a lower
+   threshold. Features are chunks of one fixed shape (CHUNK_FRAMES x MELS, the last one padded), each with its time
+   span; a task writes them as Arrow fixed-shape tensors into Parquet files of the shared folder. File names are unique
+   to an attempt and only those of finished tasks enter the written manifest, so lost executors do no harm.
+3. ``audio_features`` reads tensors, spans and segments back and digests them; ``tensor_rows`` gives them as rows.
+
+Frames are computed in blocks and tensors written and read some thousands at a time, so that beside one payload and its
+features memory does not grow with the texts; a very long text is handled whole. Null and empty payloads are stored as
+one block of zeros. Repeated rows and ids give repeated rows; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import blocks, fresh_path, stash
+from ledgerloom.llm.warc import place
+
 #: A payload is padded with zeros to a positive multiple of this.
 PAD = 64
 RATE, UP, DOWN = 8000, 3, 4
@@ -36,8 +44,13 @@ FLOOR_DB = -100.0
 #: Decibels above a row's lower quartile energy that open a segment, and those that keep it open.
 OPEN_DB, KEEP_DB = 3.0, 1.0
 
-CHUNKS = "array<struct<start_s:double,end_s:double,frames:int,tensor:array<float>>>"
-SEGMENTS = "array<struct<start_s:double,end_s:double>>"
+#: Chunks written and read at once, and those after which a task begins its next pair of files.
+GROUP_CHUNKS, FILE_CHUNKS = 2048, 32_768
+
+TENSOR = pa.fixed_shape_tensor(pa.float32(), [CHUNK_FRAMES, MELS])
+CHUNKS = pa.schema([("row", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int32()), ("tensor", TENSOR)])
+SPAN = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])
+MEDIA = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("n_frames", pa.int64()), ("segments", pa.list_(SPAN))])
 
 
 # ------------------------------------------------------------------ storage
@@ -60,16 +73,17 @@ def wav_payload(media: bytes) -> bytes:
 
 
 def store_audio(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media: the text's UTF-8 bytes, padded, as a WAV file."""
+    """doc_id, n_bytes, media: the text's UTF-8 bytes, padded, as a WAV file; written to the shared folder."""
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [x or b"" for x in batch.column(1).to_pylist()]
-            media = [wav_bytes(x + bytes(-len(x) % PAD if x else PAD)) for x in raw]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+            for part, texts in blocks(batch, "text"):
+                raw = [x.encode() for x in texts]
+                media = [wav_bytes(x + bytes(-len(x) % PAD if x else PAD)) for x in raw]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("payload"))
-    return rows.mapInArrow(store, "doc_id long, n_bytes long, media binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return stash(rows.mapInArrow(store, "doc_id long, n_bytes long, media binary"), "media")
 
 
 # ------------------------------------------------------------------ signal
@@ -150,41 +164,143 @@ def analyse(media: bytes) -> dict:
     chunks[:frames] = mels
     spans = [(a * step, min(last, (min(frames, a + CHUNK_FRAMES) - 1) * step + FRAME / TARGET), min(CHUNK_FRAMES, frames - a)) for a in range(0, frames, CHUNK_FRAMES)]
     parts = [(a * step, min(last, (b - 1) * step + FRAME / TARGET)) for a, b in segments(energy)]
-    digest = hashlib.sha256(chunks.astype("<f4").tobytes() + np.array(parts).round(4).astype("<f8").tobytes()).hexdigest()
-    return {"payload": payload, "tensors": chunks.reshape(-1, CHUNK_FRAMES * MELS), "spans": spans, "segments": parts, "frames": frames, "feature": f"logmel:{frames}x{MELS};segments:{len(parts)};sha256:{digest}"}
-
-
-def audio_features(stored: DataFrame, with_tensors: bool = True) -> DataFrame:
-    """Per stored row: digests of the payload and the stored form, feature, and the tensors and segments with their spans."""
+    return {"payload": payload, "tensors": chunks.reshape(-1, CHUNK_FRAMES, MELS), "spans": spans, "segments": parts, "frames": frames}
+
+
+# ------------------------------------------------------------------ files of tensors
+class FeatureWriter:
+    """A pair of Parquet files: a row a payload, and its chunks in the same order, tensors of one shape with their spans."""
+
+    def __init__(self, folder: str):
+        fs, root = place(folder)
+        fs.create_dir(root, recursive=True)
+        self.name = uuid.uuid4().hex
+        self.streams = [fs.open_output_stream(f"{root}/{self.name}.{kind}.parquet", compression=None) for kind in ("media", "tensors")]
+        self.media, self.tensors = (pq.ParquetWriter(stream, schema, compression="zstd") for stream, schema in zip(self.streams, (MEDIA, CHUNKS), strict=True))
+        self.rows, self.chunks, self.held, self.spans, self.blocks = 0, 0, [], [], []
+
+    def add(self, row: dict, spans: list[tuple[float, float, int]], tensors: np.ndarray) -> None:
+        self.held.append({"row": self.rows, **row})
+        for at in range(0, len(tensors), GROUP_CHUNKS):
+            part = tensors[at : at + GROUP_CHUNKS]
+            self.spans += [(self.rows, *span) for span in spans[at : at + GROUP_CHUNKS]]
+            self.blocks.append(part)
+            if len(self.spans) >= GROUP_CHUNKS:
+                self.flush()
+        self.rows += 1
+        self.chunks += len(tensors)
+
+    def flush(self) -> None:
+        if self.spans:
+            columns = [pa.array(c, t) for c, t in zip(zip(*self.spans, strict=True), CHUNKS.types[:-1], strict=True)]
+            self.tensors.write_table(pa.Table.from_arrays([*columns, pa.FixedShapeTensorArray.from_numpy_ndarray(np.concatenate(self.blocks))], schema=CHUNKS))
+        if self.held:
+            self.media.write_table(pa.Table.from_pylist(self.held, MEDIA))
+        self.held, self.spans, self.blocks = [], [], []
+
+    def close(self) -> tuple[str, int, int]:
+        self.flush()
+        for out in (self.media, self.tensors, *self.streams):
+            out.close()
+        return self.name, self.rows, self.chunks
+
+
+def stored_rows(folder: str, name: str) -> Iterator[tuple[dict, Iterator[tuple[dict, np.ndarray]]]]:
+    """Each payload's row of a pair of files with its chunks (spans, tensor); chunks are to be used before the next row."""
+    fs, root = place(folder)
+
+    def batches(kind: str, size: int) -> Iterator[pa.RecordBatch]:
+        with fs.open_input_file(f"{root}/{name}.{kind}.parquet") as stream:
+            yield from pq.ParquetFile(stream).iter_batches(size)
+
+    def every() -> Iterator[tuple[dict, np.ndarray]]:
+        for batch in batches("tensors", 256):
+            yield from zip(batch.select(CHUNKS.names[:-1]).to_pylist(), batch.column("tensor").to_numpy_ndarray(), strict=True)
+
+    chunks = every()
+    for batch in batches("media", 256):
+        for row in batch.to_pylist():
+            yield row, (next(chunks) for _ in range(-(-row["n_frames"] // CHUNK_FRAMES)))
+
+
+def store_features(stored: DataFrame, folder: str) -> DataFrame:
+    """Write the features of stored media into folder; the manifest (name, rows, chunks), itself written."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, done = None, []
+        for batch in batches:
+            for at in range(batch.num_rows):
+                doc_id, n_bytes, media = (batch.column(c)[at].as_py() for c in range(3))
+                got = analyse(media)
+                payload = got["payload"]
+                out = out or FeatureWriter(folder)
+                row = {
+                    "doc_id": doc_id, "n_bytes": n_bytes, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-PAD:]),
+                    "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "n_frames": got["frames"], "segments": [{"start_s": a, "end_s": b} for a, b in got["segments"]],
+                }
+                out.add(row, got["spans"], got["tensors"])
+                if out.chunks >= FILE_CHUNKS:
+                    done.append(out.close())
+                    out = None
+        if out is not None:
+            done.append(out.close())
+        yield pa.RecordBatch.from_pylist([dict(zip(("name", "rows", "chunks"), d, strict=True)) for d in done], pa.schema([("name", pa.string()), ("rows", pa.int64()), ("chunks", pa.int64())]))
+
+    return stash(stored.mapInArrow(write, "name string, rows long, chunks long"), "tensor-files")
+
+
+def each_file(files: DataFrame) -> DataFrame:
+    """The manifest's names, a few files a task."""
+    return files.select("name").repartition(max(1, min(files.count(), 10_000)))
+
+
+def audio_features(docs: DataFrame) -> DataFrame:
+    """Per document: digests of the payload and the stored form, and a feature digest of the tensors, spans and segments read back."""
+    folder = fresh_path(docs.sparkSession, "tensors")
+    files = store_features(store_audio(docs), folder)
+
+    def digests(name: str) -> Iterator[dict]:
+        for row, chunks in stored_rows(folder, name):
+            hashed, spans = hashlib.sha256(), []
+            for span, tensor in chunks:
+                hashed.update(tensor.astype("<f4").tobytes())
+                spans.append((span["start_s"], span["end_s"], span["frames"]))
+            parts = [(s["start_s"], s["end_s"]) for s in row.pop("segments")]
+            for times in (spans, parts):
+                hashed.update(np.array(times).round(4).astype("<f8").tobytes())
+            feature = f"logmel:{row['n_frames']}x{MELS};segments:{len(parts)};sha256:{hashed.hexdigest()}"
+            yield {**row, "feature": feature, "n_chunks": len(spans), "n_segments": len(parts)}
+
+    return files_rows(files, digests, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_chunks long, n_segments long")
+
+
+def tensor_rows(files: DataFrame, folder: str) -> DataFrame:
+    """The stored chunks as rows: doc_id, chunk (from 0), start_s, end_s, frames, tensor (row by row)."""
+
+    def chunks_of(name: str) -> Iterator[dict]:
+        for row, chunks in stored_rows(folder, name):
+            for i, (span, tensor) in enumerate(chunks):
+                yield {**span, "doc_id": row["doc_id"], "chunk": i, "tensor": tensor.reshape(-1)}
+
+    return files_rows(files, chunks_of, "doc_id long, chunk int, start_s double, end_s double, frames int, tensor array<float>")
+
+
+def files_rows(files: DataFrame, rows_of, ddl: str) -> DataFrame:
+    """Rows that rows_of(name) yields for each file of a manifest, by batches."""
+    fields = [(f.split()[0], f.split()[1]) for f in ddl.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<float>": pa.list_(pa.float32())}
+    schema = pa.schema([(n, kinds[t]) for n, t in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                media = part.column(2).to_pylist()
-                got = [analyse(m) for m in media]
-                pay = [g["payload"] for g in got]
-                cols = {
-                    "doc_id": part.column(0),
-                    "n_bytes": part.column(1),
-                    "payload_bytes": pa.array(map(len, pay), pa.int64()),
-                    "payload_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in pay]),
-                    "tail_crc32": pa.array([zlib.crc32(p[-PAD:]) for p in pay], pa.int64()),
-                    "media_bytes": pa.array(map(len, media), pa.int64()),
-                    "media_sha256": pa.array([hashlib.sha256(m).hexdigest() for m in media]),
-                    "feature": pa.array([g["feature"] for g in got]),
-                    "n_frames": pa.array([g["frames"] for g in got], pa.int64()),
-                    "n_segments": pa.array([len(g["segments"]) for g in got], pa.int64()),
-                }
-                if with_tensors:
-                    cols["chunks"] = pa.array([[{"start_s": a, "end_s": b, "frames": n, "tensor": t} for (a, b, n), t in zip(g["spans"], g["tensors"], strict=True)] for g in got], pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int32()), ("tensor", pa.list_(pa.float32()))])))
-                    cols["segments"] = pa.array([[{"start_s": a, "end_s": b} for a, b in g["segments"]] for g in got], pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])))
-                yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
-
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_segments long"
-    return stored.mapInArrow(run, schema + f", chunks {CHUNKS}, segments {SEGMENTS}" * with_tensors)
-
-
-def arrow_tensors(tensors: list[np.ndarray]) -> pa.FixedShapeTensorArray:
-    """Tensors of the one shape as an Arrow extension array, to be kept in Arrow or Parquet files beside their spans."""
-    return pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(np.stack([np.asarray(t, np.float32).reshape(CHUNK_FRAMES, MELS) for t in tensors])))
+            for name in batch.column(0).to_pylist():
+                held = []
+                for row in rows_of(name):
+                    held.append({n: row[n] for n in schema.names})
+                    if len(held) >= 512:
+                        yield pa.RecordBatch.from_pylist(held, schema)
+                        held = []
+                if held:
+                    yield pa.RecordBatch.from_pylist(held, schema)
+
+    return each_file(files).mapInArrow(run, ddl)

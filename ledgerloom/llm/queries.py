@@ -48,9 +48,9 @@ def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ledgerloom.llm.audio import audio_features, store_audio
+    from ledgerloom.llm.audio import audio_features
 
-    return audio_features(store_audio(table(spark, sf_dir, "documents")), with_tensors=False)
+    return audio_features(table(spark, sf_dir, "documents"))
 
 
 def op5_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

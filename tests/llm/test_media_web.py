@@ -8,6 +8,8 @@ import zlib
 from io import BytesIO
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from conftest import DATA, same_rows
 
 from ledgerloom.llm import audio, queries, urlfilter, warc
@@ -15,7 +17,7 @@ from tests.llm.helpers import edge_docs, edge_rows, empty_docs
 
 
 def test_media_columns(spark):
-    rows = audio.audio_features(audio.store_audio(edge_docs(spark))).collect()
+    rows = audio.audio_features(edge_docs(spark)).collect()
     wanted = []
     for i, t, *_ in edge_rows():
         raw = (t or "").encode()
@@ -25,9 +27,86 @@ def test_media_columns(spark):
     by_payload = {}
     for r in rows:
         assert by_payload.setdefault(r["payload_sha256"], r["feature"]) == r["feature"]
-        assert len(r["chunks"]) == -(-r["n_frames"] // audio.CHUNK_FRAMES) and all(len(c["tensor"]) == audio.CHUNK_FRAMES * audio.MELS for c in r["chunks"])
-        assert all(a["start_s"] < a["end_s"] for a in [*r["chunks"], *r["segments"]])
-    assert audio.audio_features(audio.store_audio(empty_docs(spark))).count() == 0
+    assert audio.audio_features(empty_docs(spark)).count() == 0
+
+
+def slow_features(payload: bytes) -> tuple[list, list, list]:
+    """(decibels of mel bands a frame, energies, segments) by loops from the definitions."""
+    x = [(b - 128) / 128 for b in payload]
+    taps = audio.phases()
+    n_out = -(-len(x) * 3 // 4)
+    y = []
+    for m in range(n_out):
+        at, phase = divmod(m * 4, 3)
+        y.append(sum((x[i] if 0 <= i < len(x) else 0.0) * t for i, t in zip(range(at - 8, at + 8), taps[phase], strict=True)))
+    mel = lambda f: 2595 * math.log10(1 + f / 700)
+    edges = [700 * (10 ** ((mel(60) + k * (mel(3000) - mel(60)) / 21) / 2595) - 1) for k in range(22)]
+    frames = max(1, -(-max(0, n_out - 150) // 60) + 1)
+    mels, energy = [], []
+    for f in range(frames):
+        # samples behind the last one are the filter's tail over zeros, as in the operator
+        w = [y[f * 60 + i] if f * 60 + i < n_out else float(audio.resample(np.frombuffer(payload, np.uint8), (f * 60 + i) // 3 * 3, 3)[(f * 60 + i) % 3]) for i in range(150)]
+        energy.append(10 * math.log10(sum(v * v for v in w) / 150 + 1e-10))
+        hann = [v * (0.5 - 0.5 * math.cos(2 * math.pi * i / 150)) for i, v in enumerate(w)]
+        power = [abs(sum(v * np.exp(-2j * math.pi * k * i / 256) for i, v in enumerate(hann))) ** 2 / 150 for k in range(129)]
+        bands = []
+        for j in range(20):
+            lo, mid, hi = edges[j : j + 3]
+            total = 0.0
+            for k, p in enumerate(power):
+                hz = k * 6000 / 256
+                total += p * max(0.0, min((hz - lo) / (mid - lo), (hi - hz) / (hi - mid)))
+            bands.append(10 * math.log10(total + 1e-10))
+        mels.append(bands)
+    energy = [round(e, 2) for e in energy]
+    base = sorted(energy)[len(energy) // 4]
+    runs, start, loud = [], None, False
+    for f, e in enumerate([*energy, -math.inf]):
+        if e >= base + 1:
+            start, loud = f if start is None else start, loud or e >= base + 3
+        else:
+            if start is not None and loud:
+                runs.append((start, f))
+            start, loud = None, False
+    return mels, energy, runs
+
+
+def test_stored_tensors_equal_loops(spark, tmp_path):
+    texts = ["", "short", "A longer text, " * 30 + "\u00e9\u00df\u6f22 " * 40 + "aaaa" * 90, "x" * 64, "quiet ~~~~ LOUD \x00\x01\u00ff" * 60]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folder = f"file://{tmp_path}/tensors"
+    files = audio.store_features(audio.store_audio(docs), folder)
+    got = {}
+    for r in audio.tensor_rows(files, folder).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    features = {r["doc_id"]: r for r in audio.audio_features(docs).collect()}
+    for i, text in enumerate(texts):
+        raw = text.encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        mels, _, runs = slow_features(payload)
+        chunks = sorted(got[i], key=lambda r: r["chunk"])
+        assert [c["chunk"] for c in chunks] == list(range(-(-len(mels) // 32))) and features[i]["n_frames"] == len(mels) and features[i]["n_chunks"] == len(chunks)
+        read = np.array([c["tensor"] for c in chunks], np.float32).reshape(-1, 20)
+        assert np.abs(read[: len(mels)] - np.array(mels)).max() < 0.011 and (read[len(mels) :] == audio.FLOOR_DB).all()
+        ends = len(payload) / 8000
+        spans = [(k * 0.32, min(ends, (min(len(mels), k * 32 + 32) - 1) * 0.01 + 0.025), min(32, len(mels) - k * 32)) for k in range(len(chunks))]
+        assert np.allclose([(c["start_s"], c["end_s"], c["frames"]) for c in chunks], spans)
+        parts = [(a * 0.01, min(ends, (b - 1) * 0.01 + 0.025)) for a, b in runs]
+        hashed = hashlib.sha256(read.astype("<f4").tobytes() + np.array(spans).round(4).astype("<f8").tobytes() + np.array(parts).round(4).astype("<f8").tobytes())
+        assert features[i]["feature"] == f"logmel:{len(mels)}x20;segments:{len(runs)};sha256:{hashed.hexdigest()}"
+
+
+def test_files_hold_arrow_tensors_and_split(tmp_path):
+    writer = audio.FeatureWriter(f"file://{tmp_path}/t")
+    rng = np.random.default_rng(1)
+    blocks = [rng.random((n, audio.CHUNK_FRAMES, audio.MELS), np.float32) for n in (1, 5000, 3)]
+    for k, b in enumerate(blocks):
+        writer.add({"doc_id": k, "n_bytes": 0, "payload_bytes": 0, "payload_sha256": "", "tail_crc32": 0, "media_bytes": 0, "media_sha256": "", "n_frames": len(b) * audio.CHUNK_FRAMES, "segments": []}, [(0.0, 1.0, 32)] * len(b), b)
+    name, rows, chunks = writer.close()
+    assert (rows, chunks) == (3, 5004)
+    assert pq.read_schema(f"{tmp_path}/t/{name}.tensors.parquet").field("tensor").type == pa.fixed_shape_tensor(pa.float32(), [audio.CHUNK_FRAMES, audio.MELS])
+    for (row, read), b in zip(audio.stored_rows(f"file://{tmp_path}/t", name), blocks, strict=True):
+        assert np.array_equal(np.stack([t for _, t in read]), b) and row["n_frames"] == len(b) * audio.CHUNK_FRAMES
 
 
 def test_wav_is_lossless():
