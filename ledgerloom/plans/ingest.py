@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import messages as M
-from ledgerloom.functions.text import round_half_even
-from ledgerloom.operators import classify, cleaning, mapping, records, repair, rollup
+from ledgerloom.functions.text import category, round_half_even, suffix
+from ledgerloom.operators import classify, cleaning, grid, mapping, records, repair, rollup
 from ledgerloom.functions.cut import cut
 from ledgerloom.sources import files
 
@@ -76,6 +76,32 @@ def route_warnings(routed: DataFrame) -> DataFrame:
     return routed.select("doc_id", "table_index", F.lit(0).alias("kind"), own.alias("warning")).where("warning is not null")
 
 
+def extract(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """documents (with suffix, category, content) -> raw tables of the first pass that gave any, and extraction errors.
+
+    What is decoded is written once. PDF tables of a registered table decoder (passes 1 and 2) get their header rows
+    merged here; tables rebuilt from words are pass 3. No word is decoded where no file has a word decoder.
+    """
+    readable = documents.where(~F.col("category").isin("unsupported", "unknown"))
+    decoded = cut(files.decode(readable))
+    columns = ["doc_id", "pass_no", "table_index", "headers", "cells"]
+    pdf = category(suffix("doc_id")) == "pdf"
+    own = decoded.where("error is null")
+    tables = own.where(~pdf).select(columns)
+    errors = decoded.where("error is not null").select("doc_id", "error")
+    if ".pdf" in files.DECODERS:
+        two = cleaning.normalise_pdf(own.where(pdf).withColumn("cells", F.concat(F.array("headers"), "cells")))
+        tables = tables.unionByName(two.select(columns))
+    worded = readable.where(F.col("suffix").isin(list(files.WORD_DECODERS)))
+    if worded.select("doc_id").limit(1).count():
+        words = cut(files.decode_words(worded.join(tables.select("doc_id").distinct(), "doc_id", "left_anti")))
+        rebuilt = grid.word_tables(words.where("error is null").drop("error"))
+        tables = tables.unionByName(rebuilt.withColumn("pass_no", F.lit(3)).select(columns))
+        errors = errors.unionByName(words.where("error is not null").select("doc_id", "error"))
+    raw = files.first_pass(tables).select("doc_id", "table_index", "headers", "cells")
+    return raw, errors.select("doc_id", F.lit("extraction").alias("stage"), F.substring_index("error", ":", 1).alias("error_type"), F.col("error").alias("message"))
+
+
 def ingest_tables(documents: DataFrame, raw: DataFrame, early: DataFrame) -> Ingested:
     """From documents (doc_id), raw tables (doc_id, table_index, headers, cells) and early errors to results.
 
@@ -110,13 +136,10 @@ def ingest_tables(documents: DataFrame, raw: DataFrame, early: DataFrame) -> Ing
 
 
 def ingest(spark: SparkSession, paths: str | list[str]) -> Ingested:
-    """Ingest files: CSV, XLSX, DOCX, and what decoders are registered for. Errors are rows; no file is lost."""
+    """Ingest files: CSV, XLSX, DOCX, PDF text, and what decoders are registered for. Errors are rows; no file is lost."""
     documents = files.read_documents(spark, paths)
     missing = files.missing_paths(spark, paths)
-    readable = documents.where(~F.col("category").isin("unsupported", "unknown"))
-    decoded = cut(files.decode(readable))
-    failed = decoded.where("error is not null").select("doc_id", F.lit("extraction").alias("stage"), F.substring_index("error", ":", 1).alias("error_type"), F.col("error").alias("message"))
-    raw = files.first_pass(decoded.where("error is null")).select("doc_id", "table_index", "headers", "cells")
+    raw, failed = extract(documents)
     listed = documents.select("doc_id").unionByName(missing.select("doc_id"))
     return ingest_tables(listed, raw, files.routing_errors(documents).unionByName(failed).unionByName(files.missing_errors(missing)))
 

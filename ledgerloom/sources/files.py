@@ -2,8 +2,9 @@
 
 ``read_documents`` lists files of any kind with their bytes. ``decode`` turns their bytes into raw tables, a row a table
 (doc_id, pass_no, table_index, headers, cells, error); decoders run where the file is read, and what fails is a row with
-an error. CSV, XLSX and DOCX are read with the standard library and pandas; decoders for other kinds (PDF, images) can
-be registered, and without one a file gives an error that says what is missing.
+an error. CSV, XLSX and DOCX are read with the standard library and pandas. ``decode_words`` gives the positioned words
+of PDF files, from which the grid operators rebuild tables. Decoders of tables and of words can be registered for other
+kinds and for PDF; without any a file gives an error that says what is missing.
 """
 
 from __future__ import annotations
@@ -24,10 +25,14 @@ from pyspark.sql.window import Window
 
 from ledgerloom.functions import messages as M
 from ledgerloom.functions.text import category, suffix
+from ledgerloom.sources.pdf import Word, pdf_words
 
 RAW = "doc_id string, pass_no int, table_index int, headers array<string>, cells array<array<string>>, error string"
 #: A decoder takes a file's bytes and gives passes of tables: [(pass number, headers, rows)].
 Decoder = Callable[[bytes], list[tuple[int, list[str], list[list[str]]]]]
+WORDS = "doc_id string, page int, seq int, text string, x0 double, x1 double, top double, error string"
+#: A word decoder takes a file's bytes and gives its positioned words.
+WordDecoder = Callable[[bytes], list[Word]]
 
 
 def existing(spark: SparkSession, paths: str | list[str]) -> tuple[list[str], list[str]]:
@@ -180,6 +185,7 @@ def decode_docx(content: bytes) -> list[tuple[int, list[str], list[list[str]]]]:
 
 
 DECODERS: dict[str, Decoder] = {".csv": decode_csv, ".xlsx": decode_xlsx, ".docx": decode_docx}
+WORD_DECODERS: dict[str, WordDecoder] = {".pdf": pdf_words}
 
 
 def register_decoder(suffix_: str, decoder: Decoder) -> None:
@@ -187,9 +193,18 @@ def register_decoder(suffix_: str, decoder: Decoder) -> None:
     DECODERS[suffix_] = decoder
 
 
+def register_word_decoder(suffix_: str, decoder: WordDecoder) -> None:
+    """The same for a decoder of words; tables of a table decoder come first."""
+    WORD_DECODERS[suffix_] = decoder
+
+
 def decode(documents: DataFrame) -> DataFrame:
-    """RAW rows: a table a row, or one row with an error for a file that gives none."""
+    """RAW rows: a table a row, or one row with an error for a file that gives none.
+
+    Files of which only words can be read have no rows here.
+    """
     decoders = dict(DECODERS)
+    worded = [s for s in WORD_DECODERS if s not in DECODERS]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -206,7 +221,23 @@ def decode(documents: DataFrame) -> DataFrame:
                     rows.append((doc_id, 0, 0, [], [], f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["doc_id", "pass_no", "table_index", "headers", "cells", "error"])
 
-    return documents.select("doc_id", "suffix", "content").mapInPandas(run, RAW)
+    return documents.where(~F.col("suffix").isin(worded)).select("doc_id", "suffix", "content").mapInPandas(run, RAW)
+
+
+def decode_words(documents: DataFrame) -> DataFrame:
+    """WORDS rows of the files that have a word decoder: a word a row, or one row with an error."""
+    decoders = dict(WORD_DECODERS)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for doc_id, kind, content in zip(frame.doc_id, frame.suffix, frame.content, strict=True):
+                try:
+                    rows = [(doc_id, *w, None) for w in decoders[kind](bytes(content))]
+                except Exception as e:  # a damaged file is a row of the result
+                    rows = [(doc_id, 0, 0, "", 0.0, 0.0, 0.0, f"{type(e).__name__}: {e}")]
+                yield pd.DataFrame(rows, columns=[f.split()[0] for f in WORDS.split(", ")])
+
+    return documents.where(F.col("suffix").isin(list(decoders))).select("doc_id", "suffix", "content").mapInPandas(run, WORDS)
 
 
 def first_pass(raw: DataFrame) -> DataFrame:

@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerloom.functions.cut import cut
 from ledgerloom.functions.text import category, suffix
-from ledgerloom.plans.ingest import Ingested, ingest_tables
+from ledgerloom.plans.ingest import Ingested, extract, ingest_tables
 from ledgerloom.sources import files
 
 SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -27,10 +26,7 @@ def ingest_stream(spark: SparkSession, folder: str, checkpoint: str, sink: Calla
     """Hand the Ingested of every micro-batch to sink. A document is one file, so its roll-ups lie within a batch."""
 
     def run(batch: DataFrame, number: int) -> None:
-        readable = batch.where(~F.col("category").isin("unsupported", "unknown"))
-        decoded = cut(files.decode(readable))
-        failed = decoded.where("error is not null").select("doc_id", F.lit("extraction").alias("stage"), F.substring_index("error", ":", 1).alias("error_type"), F.col("error").alias("message"))
-        raw = files.first_pass(decoded.where("error is null")).select("doc_id", "table_index", "headers", "cells")
+        raw, failed = extract(batch)
         sink(ingest_tables(batch, raw, files.routing_errors(batch).unionByName(failed)), number)
 
     writer = arriving(spark, folder).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)

@@ -2,6 +2,7 @@
 
 import json
 import zipfile
+import zlib
 
 import pytest
 
@@ -11,6 +12,7 @@ from ledgerloom.operators.mapping import with_maps
 from ledgerloom.plans.ingest import ingest
 from ledgerloom.plans.response import response
 from ledgerloom.sources import files
+from ledgerloom.sources.pdf import pdf_words, to_unicode
 from ledgerloom.streaming.files import ingest_stream
 
 HOLDINGS = """Symbol,Name,Shares,Avg Cost,Total Cost,Side,First Trading Date,Last Trading Date
@@ -100,7 +102,7 @@ def test_other_types_and_errors(done):
     assert done.records["constituent_holding"].first()["weight"] == 7.1
     errors = by_file(done.errors)
     assert errors["legacy.doc"]["message"].startswith("'.doc' files are not supported") and errors["other.csv"]["error_type"] == "NonFinancial"
-    assert errors["empty.csv"]["stage"] == "extraction" and "no decoder" in errors["scan.pdf"]["message"]
+    assert errors["empty.csv"]["stage"] == "extraction" and "Unsupported" in errors["scan.pdf"]["error_type"]
 
 
 def test_json(done):
@@ -223,3 +225,72 @@ def test_numbers_are_bound_once(spark):
     own = spark.createDataFrame([], "symbol string, shares string, avg_cost_per_share string, total_cost string, name string, side string, first_trading_date string, last_trading_date string, day_gain string, overall_gain string, overall_gain_pct string")
     plan = records.parse_holdings(own).select("record", "issues")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("RLIKE") <= 16 and plan.count("regexp_extract") == 0
+
+
+HOLDING_ROWS = [["Symbol", "Name", "Shares", "Avg Cost", "Total Cost", "Side"], ["AAPL", "Apple", "150", "182.50", "27375.00", "long"], ["GOOG", "Alphabet", "40", "140.20", "5608.00", "long"], ["MSFT", "Microsoft", "60", "310.10", "18606.00", "long"], ["NVDA", "Nvidia", "80", "495.30", "39624.00", "short"], ["KO", "Coca (Cola)", "5", "60.00", "300.00", "long"]]
+TRADE_ROWS = [["Symbol", "Type", "Shares", "Price", "Total", "Commission", "Net Amt", "Date"], ["AAPL", "buy", "50", "178.90", "8945.00", "1.00", "8946.00", "2024-01-10"], ["TSLA", "sell", "30", "215.50", "6465.00", "1.00", "6464.00", "2024-01-15"], ["KO", "dividend", "5", "0.46", "2.30", "0.00", "2.30", "2024-02-01"], ["IBM", "buy", "7", "180.00", "1260.00", "1.00", "1261.00", "2024-02-02"]]
+
+
+def shown(rows, width=85):
+    """A content stream that shows rows of texts, a text object a cell."""
+    quoted = lambda t: t.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)")
+    return "\n".join(f"BT /F1 9 Tf 1 0 0 1 {30 + j * width} {740 - i * 18} Tm ({quoted(t)}) Tj ET" for i, row in enumerate(rows) for j, t in enumerate(row)).encode()
+
+
+def pdf_file(pages, packed=False):
+    """A PDF file of content streams; packed: Flate streams, and all other objects in an object stream."""
+    plain = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: f"<< /Type /Pages /Count {len(pages)} /Kids [{' '.join(f'{10 + 2 * i} 0 R' for i in range(len(pages)))}] /MediaBox [0 0 612 792] /Resources << /Font << /F1 3 0 R >> >> >>".encode(), 3: b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"}
+    streams = {}
+    for i, body in enumerate(pages):
+        plain[10 + 2 * i] = f"<< /Type /Page /Parent 2 0 R /Contents {11 + 2 * i} 0 R >>".encode()
+        streams[11 + 2 * i] = (b"/Filter /FlateDecode", zlib.compress(body)) if packed else (b"", body)
+    if packed:
+        heads, bodies = b"", b""
+        for n, body in plain.items():
+            heads += f"{n} {len(bodies)} ".encode()
+            bodies += body + b" "
+        streams[90] = (f"/Type /ObjStm /N {len(plain)} /First {len(heads)} /Filter /FlateDecode".encode(), zlib.compress(heads + bodies))
+        plain = {}
+    out = b"%PDF-1.5\n" + b"".join(f"{n} 0 obj\n".encode() + b + b"\nendobj\n" for n, b in plain.items())
+    out += b"".join(f"{n} 0 obj\n<< /Length {len(b)} ".encode() + f + b" >>\nstream\n" + b + b"\nendstream\nendobj\n" for n, (f, b) in streams.items())
+    return out + (b"91 0 obj\n<< /Type /XRef /Root 1 0 R /Length 0 >>\nstream\n\nendstream\nendobj\n" if packed else b"trailer\n<< /Root 1 0 R >>\n") + b"%%EOF"
+
+
+def test_pdf_words():
+    words = pdf_words(pdf_file([b"q 1 0 0 1 10 0 cm BT /F1 10 Tf 20 700 Td [(Av) -100 (g) -2000 (C\\157st)] TJ 0 -20 Td (two words) Tj T* ET Q BT /F1 10 Tf 5 TL 10 100 Td <48 69> Tj (x) ' ET"]))
+    assert [(w.page, w.text, round(w.x0)) for w in words] == [(1, "Avg", 30), (1, "Cost", 68), (1, "two", 30), (1, "words", 48), (1, "Hi", 10), (1, "x", 10)]
+    assert [round(b.top - a.top) for a, b in zip(words, words[1:], strict=False)] == [0, 20, 0, 580, 5]
+    assert pdf_words(pdf_file([shown(HOLDING_ROWS)])) == pdf_words(pdf_file([shown(HOLDING_ROWS)], packed=True))
+    with pytest.raises(ValueError):
+        pdf_words(b"no file")
+    with pytest.raises(ValueError):
+        pdf_words(b"%PDF-1.4\ntrailer << /Encrypt 5 0 R >>")
+
+
+def test_unicode_maps():
+    body = b"2 beginbfchar <0003> <0041> <0004> <00660069> endbfchar 2 beginbfrange <0010> <0012> <0061> <0020> <0021> [<0078> <0079>] endbfrange"
+    assert to_unicode(body) == {3: "A", 4: "fi", 16: "a", 17: "b", 18: "c", 32: "x", 33: "y"}
+
+
+def test_pdf_files(spark, tmp_path):
+    (tmp_path / "holdings.pdf").write_bytes(pdf_file([shown(HOLDING_ROWS)]))
+    (tmp_path / "trades.pdf").write_bytes(pdf_file([shown([TRADE_ROWS[0], *TRADE_ROWS[1:3]], 70), shown([TRADE_ROWS[0], *TRADE_ROWS[3:]], 70)], packed=True))
+    (tmp_path / "picture.pdf").write_bytes(pdf_file([b"q 100 0 0 100 0 0 cm /Im1 Do Q"]))
+    (tmp_path / "damaged.pdf").write_bytes(b"PK")
+    done = ingest(spark, str(tmp_path))
+    got = {k: (r["status"], r["input_type"], r["record_count"]) for k, r in by_file(done.results).items()}
+    assert got == {"holdings.pdf": ("success", "holding", 5), "trades.pdf": ("success", "transaction", 4), "picture.pdf": ("failed", "unknown", 0), "damaged.pdf": ("failed", "unknown", 0)}
+    rows = {r["symbol"]: r for r in done.records["holding"].collect()}
+    assert (rows["NVDA"]["side"], rows["AAPL"]["total_cost"], rows["KO"]["name"]) == ("short", 27375.0, "Coca (Cola)")
+    assert {r["symbol"]: r["executed_at"] for r in done.records["transaction"].collect()}["IBM"] == "2024-02-02"
+    errors = by_file(done.errors)
+    assert errors["damaged.pdf"]["message"] == "ValueError: not a PDF file" and errors["picture.pdf"]["error_type"] == "Unsupported"
+
+
+def test_registered_pdf_tables_come_first_with_merged_headers(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(files.DECODERS, ".pdf", lambda content: [(1, ["", "", "Avg"], [["Symbol", "Shares", "Cost"], ["IBM", "5", "100"]])] if b"IBM" in content else [])
+    (tmp_path / "ruled.pdf").write_bytes(pdf_file([shown([["Symbol", "Shares", "Avg Cost"], ["IBM", "6", "1"], ["KO", "7", "1"]])]))
+    (tmp_path / "plain.pdf").write_bytes(pdf_file([shown(HOLDING_ROWS)]))
+    done = ingest(spark, str(tmp_path))
+    got = {(r["doc_id"].rsplit("/", 1)[1], r["symbol"]): (r["shares"], r["avg_cost_per_share"]) for r in done.records["holding"].collect()}
+    assert got[("ruled.pdf", "IBM")] == (5.0, 100.0) and ("ruled.pdf", "KO") not in got and len(got) == 6
