@@ -501,12 +501,6 @@ def nearest_column(spark, sf_dir):
     return raw(spark, sf_dir, "events", TOKENS).select("doc_id", "seq", grid.nearest_column(F.col("x"), centres).alias("col_no"))
 
 
-@query()
-def column_centres(spark, sf_dir):
-    own = raw(spark, sf_dir, "events", TOKENS).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.bround("x", 0))).alias("xs"))
-    return own.select("doc_id", grid.running_centres(F.col("xs"), F.lit(25.0)).alias("centres"), grid.split_centres(F.col("xs"), F.lit(2)).alias("halves"))
-
-
 PASSES = {"doc_id": "user_id", "pass_no": "1 + (user_id + event_id) % 3 + CASE WHEN user_id % 4 = 0 THEN 1 ELSE 0 END", "table_index": "event_id"}
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ledgerloom.plans import file_queries  # noqa: F401  (registers its queries)
 from ledgerloom.plans.queries import QUERIES, SQL
 
 
