@@ -58,6 +58,7 @@ class Operator(str):
 
 TOKEN = re.compile(rb"(?:[\x00\t\n\x0c\r ]|%[^\r\n]*)*(?:(<<|>>|[\[\]{}])|/([^\x00\t\n\x0c\r ()<>\[\]{}/%]*)|<([0-9A-Fa-f\s]*)>|([+-]?(?:\d+\.?\d*|\.\d+))(?![^\x00\t\n\x0c\r ()<>\[\]{}/%])|(\()|([^\x00\t\n\x0c\r ()<>\[\]{}/%]+))")
 REF = re.compile(rb"[\x00\t\n\x0c\r ]+\d+[\x00\t\n\x0c\r ]+R(?![^\x00\t\n\x0c\r ()<>\[\]{}/%])")
+IMAGE_END = re.compile(rb"\sEI(?=\s|$)")
 ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
 
@@ -318,13 +319,17 @@ class Painter:
                 self.glyphs.append((own, place[4], place[4] + width * place[0], place[5] + 0.8 * place[3]))
                 tm = times((1, 0, 0, 1, (width * size + text["Tc"] + text["Tw"] * space) * stretch, 0), tm)
 
-        for value, _ in values(body, refs=False):
+        items = values(body, refs=False)
+        while item := next(items, None):
+            value, end = item
             if not isinstance(value, Operator):
                 held.append(value)
                 continue
             op, args, held = str(value), held, []
-            if op == "ID":
-                break  # an inline image: what follows is no text, and its length is not told
+            if op == "ID":  # an inline image, whose length is not told
+                after = IMAGE_END.search(body, end)
+                items = values(body, after.end() if after else len(body), refs=False)
+                continue
             numbers = [v for v in args if isinstance(v, int | float)]
             if op == "q":
                 saved.append((ctm, dict(text)))

@@ -261,6 +261,8 @@ def test_pdf_words():
     assert [(w.page, w.text, round(w.x0)) for w in words] == [(1, "Avg", 30), (1, "Cost", 68), (1, "two", 30), (1, "words", 48), (1, "Hi", 10), (1, "x", 10)]
     assert [round(b.top - a.top) for a, b in zip(words, words[1:], strict=False)] == [0, 20, 0, 580, 5]
     assert pdf_words(pdf_file([shown(HOLDING_ROWS)])) == pdf_words(pdf_file([shown(HOLDING_ROWS)], packed=True))
+    image = b"BI /W 2 /H 1 /BPC 8 /CS /G ID (\xff<< EIx EI BT /F1 10 Tf 10 10 Td (after) Tj ET"
+    assert [w.text for w in pdf_words(pdf_file([image]))] == ["after"]
     with pytest.raises(ValueError):
         pdf_words(b"no file")
     with pytest.raises(ValueError):
