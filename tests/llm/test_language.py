@@ -195,6 +195,43 @@ def test_scores_equal_loops(spark, monkeypatch):
         assert math.isclose(got[i]["score"], -bits * math.log10(2), rel_tol=1e-3, abs_tol=0.01), (i, texts[i])
 
 
+def test_letter_tables_count_every_occurrence(spark):
+    """Each bit of each token of the training texts is in the tables, by plain dictionaries."""
+    rows = [(i, t) for i, t in enumerate(story(30))]
+    texts = [t for _, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    code, hints = lm.look_over(docs)
+    words = lm.count_training(docs, hints).where(f"kind = {lm.WORD}")
+    wanted = np.zeros((2, lm.SLOTS, 2), np.int64)
+    t = lm.tokens([x or "" for x in texts], hints)
+    half = (lm.mix(t.hashes) & np.uint64(1)).astype(int)
+    for i in range(len(t.hashes)):  # token by token
+        _, start, size = lm.pieces(t.starts[i : i + 1], t.lengths[i : i + 1])
+        d = lm.decisions(code, t.data, start, size, np.repeat(t.before[i], len(start)))
+        for slots, first in zip(d.slots, lm.STARTS, strict=False):
+            np.add.at(wanted[half[i]], (slots + first, d.bit), 1)
+    got = np.zeros((2, lm.SLOTS, 2), np.int64)
+    per_half = lm.SLOTS // lm.CHUNK
+    for r in lm.letter_counts(words, code).collect():
+        at = r["key"] % per_half * lm.CHUNK
+        got[r["key"] // per_half, at : at + lm.CHUNK] += lm.parted(r["blob"])[1].reshape(-1, 2)
+    assert wanted.max() > 100 and (got == wanted).all()
+
+
+def test_bit_counts_beyond_four_bytes():
+    """A bit that stands more than 2^32 times is counted whole, and so are those beside it."""
+    own, n = lm.BitCounts(), np.array([3_000_000_000, 2])
+    d = lm.Decisions(np.array([0, 2]), np.array([1, 0, 1], np.uint8), [np.array([5, 9, 5], np.int32)] * len(lm.BITS), np.zeros(3, np.int32), np.zeros(3, np.int32))
+    for _ in range(3):
+        own.add(d, n)
+        own.add(d)
+        own.flush()
+    (chunk, blob), *_ = own.blobs()
+    pairs, first = lm.parted(blob)
+    first = first.reshape(-1, 2)
+    assert chunk == 0 and pairs[[0, 5, 9]].tolist() == [0, 12, 6] and first[5].tolist() == [0, 9_000_000_012] and first[9].tolist() == [9_000_000_003, 0]
+
+
 def test_trust_equals_plain_expectation_steps():
     rng = np.random.default_rng(2)
     before, word, pair, n = rng.integers(0, 2, 50), rng.integers(-20, 20, 50), np.where(rng.random(50) < 0.3, lm.NEVER, rng.integers(-20, 20, 50)), rng.integers(1, 9, 50)
