@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from ledgerloom.llm import langid, lm
 from tests.llm.helpers import EN, FR, edge_docs, edge_rows, empty_docs
@@ -232,6 +233,16 @@ def test_bit_counts_beyond_four_bytes():
     assert chunk == 0 and pairs[[0, 5, 9]].tolist() == [0, 12, 6] and first[5].tolist() == [0, 9_000_000_012] and first[9].tolist() == [9_000_000_003, 0]
 
 
+def test_blocks_of_training_texts_are_bounded(monkeypatch):
+    """No block of texts holds more than BLOCK_CHARS characters, however large the batches; no text is lost or moved."""
+    monkeypatch.setattr(lm, "BLOCK_CHARS", 1000)
+    texts = [str(i) * (i % 90) for i in range(900)] + ["x" * 5000, None, "y"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[a : a + 300], pa.string())], ["text"]) for a in range(0, len(texts), 300)]
+    held = list(lm.gathered(iter(batches)))
+    assert [t for own in held for t in own] == [t or "" for t in texts]
+    assert all(len(own) == 1 or sum(map(len, own)) <= 1000 for own in held) and len(held) < 200
+
+
 def test_trust_equals_plain_expectation_steps():
     rng = np.random.default_rng(2)
     before, word, pair, n = rng.integers(0, 2, 50), rng.integers(-20, 20, 50), np.where(rng.random(50) < 0.3, lm.NEVER, rng.integers(-20, 20, 50)), rng.integers(1, 9, 50)
