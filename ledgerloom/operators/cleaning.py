@@ -1,7 +1,8 @@
 """Cleaning of raw tables: headers, cells, empty columns, rejection of what is no table; two-row headers of PDF tables.
 
-A raw table is a row (doc_id, table_index, headers, cells) whose cells are an array of rows, each an array of texts. A
-file's table is bounded by the file, so these steps need no shuffle; many files are many rows.
+A raw table is a row (doc_id, table_index, headers, cells) whose cells are an array of rows, each an array of texts. The
+whole ingestion also takes a table in parts, rows with the same id, index and headers and some of its rows each:
+``heads`` judges it by sums over its parts, so no task holds a table.
 """
 
 from __future__ import annotations
@@ -54,8 +55,7 @@ def cleaned(headers: Column, cells: Column) -> Column:
 
     def judge(t: Column) -> Column:
         filled = F.size(F.filter(F.flatten(t["cells"]), lambda c: c != "")) / F.greatest(F.size(t["cells"]) * F.size(t["headers"]), F.lit(1))
-        unnamed = F.size(F.filter(t["headers"], is_placeholder)) / F.greatest(F.size(t["headers"]), F.lit(1))
-        ok = (F.size(t["cells"]) > 0) & (F.size(t["headers"]) >= V.MIN_COLUMNS) & (filled >= V.SPARSE_SHARE) & (unnamed <= V.PLACEHOLDER_SHARE)
+        ok = (F.size(t["cells"]) > 0) & (F.size(t["headers"]) >= V.MIN_COLUMNS) & (filled >= V.SPARSE_SHARE) & (unnamed_share(t["headers"]) <= V.PLACEHOLDER_SHARE)
         return F.struct(t["headers"].alias("headers"), t["cells"].alias("cells"), ok.alias("ok"))
 
     def columns(h: Column) -> Column:
@@ -74,6 +74,28 @@ def normalise(raw: DataFrame) -> DataFrame:
     return own.where(F.col("table.ok") & (F.col("seen") >= 0)).select(*rest, "table.headers", "table.cells")
 
 
+IDS = ["doc_id", "table_index"]
+
+
+def unnamed_share(headers: Column) -> Column:
+    return F.size(F.filter(headers, is_placeholder)) / F.greatest(F.size(headers), F.lit(1))
+
+
+def heads(raw: DataFrame) -> DataFrame:
+    """What normalise() keeps, a row a table without its cells: doc_id, table_index, headers, used (the places of its
+    columns in the raw rows). A raw table may come in parts."""
+    rows = raw.select(*IDS, F.size("headers").alias("width"), F.explode("cells").alias("row"))
+    each = rows.select(*IDS, F.posexplode(padded(F.col("row"), F.col("width"))).alias("place", "cell"))
+    columns = each.groupBy(*IDS, "place").agg(F.count("*").alias("n"), F.count_if(clean_cell("cell") != "").alias("filled"))
+    used = F.array_sort(F.collect_list(F.when(F.col("filled") > 0, F.col("place"))))
+    counted = columns.groupBy(*IDS).agg(F.max("n").alias("n_rows"), F.sum("filled").alias("n_filled"), used.alias("used"))
+    names = let(let(F.transform("headers", clean_header), deduplicated), lambda h: F.transform("used", lambda i: F.get(h, i)))
+    own = raw.select(*IDS, "headers").distinct().join(counted, IDS).withColumn("headers", names)
+    filled = F.col("n_filled") / F.greatest(F.col("n_rows") * F.size("headers"), F.lit(1))
+    ok = (F.size("headers") >= V.MIN_COLUMNS) & (filled >= V.SPARSE_SHARE) & (unnamed_share(F.col("headers")) <= V.PLACEHOLDER_SHARE)
+    return own.where(ok).select(*IDS, "headers", "used")
+
+
 def squeezed(c: Column) -> Column:
     return F.regexp_replace(strip(F.coalesce(c, F.lit(""))), SPACES, " ")
 
@@ -105,7 +127,18 @@ def normalise_pdf(raw: DataFrame) -> DataFrame:
     return normalise(named.withColumn("cells", F.transform(body, lambda r: F.transform(r, squeezed))).drop("first", "second", "two", "names"))
 
 
-def exploded(tables: DataFrame) -> DataFrame:
-    """One row a table row: everything but cells, then row_idx and cells."""
-    rest = [c for c in tables.columns if c != "cells"]
-    return tables.select(*rest, F.posexplode("cells").alias("row_idx", "cells"))
+#: Tables whose heads are broadcast to their rows; more are joined by shuffle.
+BROADCAST_TABLES = 5_000
+
+
+def exploded(raw: DataFrame, tables: DataFrame) -> DataFrame:
+    """One row a table row: the columns of tables (heads, written), then row_idx and cells, clean and of used columns.
+
+    raw may have first_row, the number of a part's first row.
+    """
+    first = F.col("first_row") if "first_row" in raw.columns else F.lit(0)
+    few = tables.limit(BROADCAST_TABLES + 1).count() <= BROADCAST_TABLES
+    joined = raw.select(*IDS, first.alias("first_row"), "cells").join(F.broadcast(tables) if few else tables, IDS)
+    rows = joined.select(*tables.columns, "first_row", F.posexplode("cells").alias("place", "row"))
+    cells = F.transform("used", lambda i: clean_cell(F.get("row", i)))
+    return rows.select(*tables.columns, (F.col("first_row") + F.col("place")).alias("row_idx"), cells.alias("cells"))

@@ -33,16 +33,35 @@ def filled(cells: Column, own: Column, other: Column, empty: list[str]) -> Colum
     return F.transform(cells, lambda r: F.transform(r, lambda c, i: F.when((i == own) & strip(c).isin(empty), F.get(r, other)).otherwise(c)))
 
 
-def repair_symbols(tables: DataFrame, symbol_header: Column) -> DataFrame:
-    """Fill blank symbols from the column of tickers, or name that column Symbol where none is mapped; adds stray."""
-    own = place(F.col("headers"), symbol_header)
-    found = tables.withColumn("own", own).withColumn("ratios", shares_of(F.col("cells"), F.size("headers"), lambda c: c.rlike(TICKER)))
+def symbol_places(tables: DataFrame, symbol_header: Column) -> DataFrame:
+    """tables with ratios (of tickers in each column) -> own and stray, the places of symbols as mapped and as found
+    elsewhere; a stray column is named Symbol where none is mapped."""
+    found = tables.withColumn("own", place(F.col("headers"), symbol_header))
     found = found.withColumn("stray", stray(F.col("ratios"), F.col("own"), V.SYMBOL_FINE, V.SYMBOL_STRAY, F.array(F.coalesce("own", F.lit(-1)))))
-    fill = F.col("stray").isNotNull() & F.col("own").isNotNull()
     rename = F.col("stray").isNotNull() & F.col("own").isNull()
-    cells = F.when(fill, filled(F.col("cells"), F.col("own"), F.col("stray"), ["", "nan", "None"])).otherwise(F.col("cells"))
     headers = F.when(rename, F.transform("headers", lambda h, i: F.when(i == F.col("stray"), "Symbol").otherwise(h))).otherwise(F.col("headers"))
-    return found.withColumn("cells", cells).withColumn("headers", headers).drop("own", "ratios")
+    return found.withColumn("headers", headers).drop("ratios")
+
+
+def fill_symbols(cells: Column) -> Column:
+    """cells (all rows) with blank symbols of column own taken from column stray."""
+    fill = F.col("stray").isNotNull() & F.col("own").isNotNull()
+    return F.when(fill, filled(cells, F.col("own"), F.col("stray"), ["", "nan", "None"])).otherwise(cells)
+
+
+def repair_symbols(tables: DataFrame, symbol_header: Column) -> DataFrame:
+    """Fill blank symbols from the column of tickers, or name that column Symbol where none is mapped; adds stray."""
+    ratios = shares_of(F.col("cells"), F.size("headers"), lambda c: c.rlike(TICKER))
+    found = symbol_places(tables.withColumn("ratios", ratios), symbol_header)
+    return found.withColumn("cells", fill_symbols(F.col("cells"))).drop("own")
+
+
+def ticker_ratios(rows: DataFrame, ids: list[str]) -> DataFrame:
+    """ids -> ratios: for each column the share of a table's rows whose cell is a ticker; rows: ids, cells."""
+    each = rows.select(*ids, F.posexplode("cells").alias("place", "cell"))
+    ratio = F.count_if(F.coalesce(strip("cell").rlike(TICKER), F.lit(False))) / F.count("*")
+    columns = each.groupBy(*ids, "place").agg(ratio.alias("ratio"))
+    return columns.groupBy(*ids).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "ratio"))), lambda x: x["ratio"]).alias("ratios"))
 
 
 def repair_shares(tables: DataFrame, shares_header: Column, symbol_header: Column) -> DataFrame:

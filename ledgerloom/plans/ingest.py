@@ -31,20 +31,27 @@ class Ingested:
     built_ms: dict[str, float] = field(default_factory=dict)
 
 
-def routed_tables(classified: DataFrame) -> DataFrame:
-    """Financial tables with their maps and route; holding tables are repaired and matched again."""
+IDS = cleaning.IDS
+
+
+def routed_tables(classified: DataFrame, raw: DataFrame) -> DataFrame:
+    """Financial tables with their maps and route; holding tables are repaired and matched again (own, stray: where
+    their symbols are mapped and stand)."""
     money = classified.where("doc_type != 'non_financial'")
     first = classify.route(money.withColumn("hint", F.when(F.col("confidence") == "high", F.col("doc_type"))))
-    others = first.where(~F.col("route").isin("holding", "constituent_fallback", "none_holding"))
+    nowhere = F.lit(None).cast("int")
+    others = first.where(~F.col("route").isin("holding", "constituent_fallback", "none_holding")).withColumns({"own": nowhere, "stray": nowhere})
     holdings = first.where(F.col("route").isin("holding", "constituent_fallback", "none_holding"))
-    fixed = repair.repair_symbols(holdings, F.try_element_at("maps.holding", F.lit("symbol"))).drop("maps", "route", "route_missing", "stray")
+    ratios = repair.ticker_ratios(cleaning.exploded(raw, holdings.select(*IDS, "used")), IDS)
+    fixed = cut(repair.symbol_places(holdings.join(ratios, IDS), F.try_element_at("maps.holding", F.lit("symbol"))).drop("maps", "route", "route_missing"))
     again = classify.route(mapping.with_maps(fixed))
     return others.unionByName(again)
 
 
-def parse(routed: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+def parse(routed: DataFrame, raw: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
     """Records by type, and the outcomes of all rows (doc_id, table_index, table_type, row_idx, outcome, suspicious, note)."""
-    rows = cleaning.exploded(routed)
+    heads = routed.select(*IDS, "headers", "used", "maps", "route", "own", "stray")
+    rows = cleaning.exploded(raw, heads).withColumn("cells", F.get(repair.fill_symbols(F.array("cells")), 0))
     kind = F.when(F.col("route") == "constituent_fallback", "constituent_holding").otherwise(F.col("route"))
     found, outcomes = {}, []
     for name, vocabulary in ROUTES.items():
@@ -60,7 +67,7 @@ def parse(routed: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
         )
         found[name] = done.where("outcome = 'record'").select("doc_id", "table_index", "row_idx", "record.*")
     lacking = routed.where(F.col("route").startswith("none_")).select(
-        "doc_id", "table_index", F.substring("route", 6, 100).alias("table_type"), F.lit(None).cast("int").alias("row_idx"), F.lit("none").alias("outcome"),
+        "doc_id", "table_index", F.substring("route", 6, 100).alias("table_type"), F.lit(None).cast("long").alias("row_idx"), F.lit("none").alias("outcome"),
         F.lit(None).cast("string").alias("reason"), F.lit(False).alias("suspicious"), F.lit(None).cast("string").alias("note"),
     )
     every = lacking
@@ -98,22 +105,23 @@ def extract(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         rebuilt = grid.word_tables(words.where("error is null").drop("error"))
         tables = tables.unionByName(rebuilt.withColumn("pass_no", F.lit(3)).select(columns))
         errors = errors.unionByName(words.where("error is not null").select("doc_id", "error"))
-    raw = files.first_pass(tables).select("doc_id", "table_index", "headers", "cells")
+    raw = cut(files.first_pass(tables).select("doc_id", "table_index", "headers", "cells"))
     return raw, errors.select("doc_id", F.lit("extraction").alias("stage"), F.substring_index("error", ":", 1).alias("error_type"), F.col("error").alias("message"))
 
 
 def ingest_tables(documents: DataFrame, raw: DataFrame, early: DataFrame) -> Ingested:
     """From documents (doc_id), raw tables (doc_id, table_index, headers, cells) and early errors to results.
 
-    Decoded and routed tables are written once, for several branches read them.
+    A table may come in parts (see cleaning), with first_row, the number of a part's first row. Its rows are read where
+    they are, once for its columns and once to be parsed (tables of holdings once more for tickers); what is written
+    are heads and summaries, a row a table.
     """
     began = time.monotonic()
-    clean = cut(cleaning.normalise(raw))
-    every = cut(classify.classify_tables(mapping.with_maps(clean)))
+    every = cut(classify.classify_tables(mapping.with_maps(cut(cleaning.heads(raw)))))
     classes = classify.classify_documents(documents, every)
-    routed = cut(routed_tables(every))
-    found, outcomes = parse(routed)
-    tables = rollup.summarise_tables(outcomes)
+    routed = cut(routed_tables(every, raw))
+    found, outcomes = parse(routed, raw)
+    tables = cut(rollup.summarise_tables(outcomes))
     tables = tables.withColumn("row_count", F.when(F.col("table_type").isNotNull(), F.col("row_count")))
     per = rollup.summarise_documents(tables, early.select("doc_id"))
     refused = classes.where(~F.col("is_financial")).join(early.select("doc_id"), "doc_id", "left_anti")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerloom import vocabulary as V
 from ledgerloom.functions import messages as M
 from ledgerloom.functions import text as X
+from ledgerloom.functions.cut import cut
 from ledgerloom.operators import classify, cleaning, grid, images, mapping, records, repair, rollup, statistics
 from ledgerloom.plans.ingest import ingest_tables
 from ledgerloom.sources.files import first_pass
@@ -539,12 +540,12 @@ DOCUMENT_TRADES = {"doc_id": "l_orderkey % 50", **{k: v for k, v in TRADES.items
     "SELECT doc_id, CASE WHEN record_count = 0 THEN 'failed' WHEN skipped_rows > 0 THEN 'partial_success' ELSE 'success' END AS status, 'transaction' AS input_type, record_count, skipped_rows FROM d"
 )
 def ingest_documents(spark, sf_dir):
-    """Raw tables of texts, a document a table, through cleaning, mapping, classification, parsing and roll-ups."""
+    """Raw tables of texts, a document a table that comes row by row, through cleaning, mapping, classification, parsing and roll-ups."""
     fields = records.FIELDS["transaction"]
     rows = raw(spark, sf_dir, "lineitem", {k: v.replace("{text}", "string") for k, v in DOCUMENT_TRADES.items()})
     cells = F.array(*(F.coalesce(F.col(f), F.lit("")) for f in fields))
     names = F.array(*(F.lit(V.TRANSACTION[f][0]) for f in fields))
-    tables = rows.groupBy("doc_id").agg(F.collect_list(cells).alias("cells")).select("doc_id", F.lit(1).alias("table_index"), names.alias("headers"), "cells")
+    tables = rows.select("doc_id", F.lit(1).alias("table_index"), names.alias("headers"), F.array(cells).alias("cells"), F.monotonically_increasing_id().alias("first_row"))
     early = spark.createDataFrame([], "doc_id long, stage string, error_type string, message string")
-    done = ingest_tables(tables.select("doc_id"), tables, early)
+    done = ingest_tables(cut(rows.select("doc_id").distinct()), tables, early)
     return done.results.select("doc_id", "status", "input_type", "record_count", "skipped_rows")

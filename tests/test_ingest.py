@@ -7,9 +7,9 @@ import zlib
 import pytest
 
 from ledgerloom.operators import grid, records
-from ledgerloom.operators.cleaning import normalise, normalise_pdf
+from ledgerloom.operators.cleaning import heads, normalise, normalise_pdf
 from ledgerloom.operators.mapping import with_maps
-from ledgerloom.plans.ingest import ingest
+from ledgerloom.plans.ingest import ingest, ingest_tables
 from ledgerloom.plans.response import response
 from ledgerloom.sources import files
 from ledgerloom.sources.pdf import pdf_words, to_unicode
@@ -296,3 +296,33 @@ def test_registered_pdf_tables_come_first_with_merged_headers(spark, tmp_path, m
     done = ingest(spark, str(tmp_path))
     got = {(r["doc_id"].rsplit("/", 1)[1], r["symbol"]): (r["shares"], r["avg_cost_per_share"]) for r in done.records["holding"].collect()}
     assert got[("ruled.pdf", "IBM")] == (5.0, 100.0) and ("ruled.pdf", "KO") not in got and len(got) == 6
+
+
+def test_tables_in_parts_equal_whole_tables(spark):
+    """Rows of a table that come one by one, in any order, give what the whole table gives: blank columns, sparse and
+    unnamed tables, short and long rows, tickers in another column."""
+    holdings = [["", f"Company {i}", "7", "5.0", "", t, "over"] for i, t in enumerate(["AAPL", "GOOG", "TSLA", "NVDA", "MSFT"])]
+    raw = [
+        ("a", 1, ["Symbol", "Name", "Shares", "Avg Cost", "Blank", "Code"], holdings),
+        ("a", 2, ["Symbol", "Type", "Quantity", "Date", "Symbol"], [["AAPL", "buy", "3", "2024-01-10"], ["X", "transfer", "1", "2024-01-01", "n/a"], ["", "buy"], []]),
+        ("b", 1, ["", "", "Symbol", ""], [["1", "2", "3", "4"]]),
+        ("b", 2, ["Symbol", "Shares"], [["", ""], ["N/A", "-"]]),
+        ("c", 1, ["Symbol", "Weight", "Price"], [["AAPL", "5%", "3"], ["GOOG", "", ""], ["Total", "100", ""]]),
+        ("c", 2, ["Symbol", "Shares", "x", "y", "z", "u", "v", "w", "q", "r", "s", "t"], [["AAPL", "", "1"], *[[""] * 12] * 40]),
+        ("d", 1, ["Symbol", "Shares"], []),
+        ("e", 1, [], [["1"]]),
+    ]
+    schema = "doc_id string, table_index int, headers array<string>, cells array<array<string>>"
+    whole = spark.createDataFrame(raw, schema)
+    rows = [(d, t, h, [r], i) for d, t, h, cells in raw for i, r in enumerate(cells)]
+    parts = spark.createDataFrame(rows[::-1], schema + ", first_row long").repartition(5)
+    documents = whole.select("doc_id").distinct()
+    early = spark.createDataFrame([], "doc_id string, stage string, error_type string, message string")
+    one, many = (ingest_tables(documents, r, early) for r in (whole, parts))
+    plain = lambda frame: sorted(map(repr, frame.collect()))
+    assert plain(one.results) == plain(many.results) and plain(one.outcomes) == plain(many.outcomes) and plain(one.warnings) == plain(many.warnings)
+    for name, own in one.records.items():
+        assert plain(own) == plain(many.records[name])
+    assert [r["symbol"] for r in many.records["holding"].orderBy("row_idx").collect() if r["doc_id"] == "a"] == ["AAPL", "GOOG", "TSLA", "NVDA", "MSFT"]
+    kept = {(r["doc_id"], r["table_index"]): r["headers"] for r in normalise(whole).collect()}
+    assert kept == {(r["doc_id"], r["table_index"]): r["headers"] for r in heads(parts).collect()} and set(kept) == {("a", 1), ("a", 2), ("c", 1)}
