@@ -219,6 +219,36 @@ def test_letter_tables_count_every_occurrence(spark):
     assert wanted.max() > 100 and (got == wanted).all()
 
 
+def test_shared_letters_are_worked_out_once(monkeypatch):
+    """Words of a class with the same first letters are priced and counted as each alone is, with few of their decisions."""
+    rng = np.random.default_rng(4)
+    code = lm.Code.of(rng.integers(0, 99, 256))
+    letters = lm.Letters(code, rng.normal(0, 1, lm.SLOTS).astype(np.float16), rng.integers(0, 40, lm.SLOTS).astype(np.uint8))
+    words = [f"understand{a}{b}" for a in "abcdefgh" for b in ("", "s", "ing", "ingly-and-more", "\0", "\0\0")] + ["un", "é", "u", "w" * 9000, "w" * 4096]
+    t = lm.tokens([" ".join(words)], lm.NO_HINTS)
+    starts, lengths = np.tile(t.starts, 2), np.tile(t.lengths, 2)
+    before, n = np.repeat([0, 3], len(t.starts)), rng.integers(1, 4, 2 * len(t.starts))
+    made, plain = [], lm.decisions
+    alone = [letters.costs(t.data, starts[i : i + 1], lengths[i : i + 1], before[i : i + 1])[0] for i in range(len(starts))]
+    wanted, own = np.zeros((lm.SLOTS, 2), np.int64), lm.BitCounts()
+    pairs = np.zeros(lm.SLOTS, np.int64)
+    for i in range(len(starts)):
+        _, start, size = lm.pieces(starts[i : i + 1], lengths[i : i + 1])
+        d = plain(code, t.data, start, size, np.repeat(before[i], len(start)))
+        for slots, first in zip(d.slots, lm.STARTS, strict=False):
+            np.add.at(wanted, (slots + first, d.bit), n[i])
+            np.add.at(pairs, slots + first, 1)
+    monkeypatch.setattr(lm, "decisions", lambda *a: made.append(plain(*a)) or made[-1])
+    short = np.flatnonzero(lengths < 100)
+    every = len(plain(code, t.data, starts[short], lengths[short], before[short]).bit)
+    assert letters.costs(t.data, starts[short], lengths[short], before[short]).tolist() == [alone[i] for i in short]
+    assert sum(len(d.bit) for d in made) < every / 2
+    assert letters.costs(t.data, starts, lengths, before).tolist() == alone
+    lm.Pairs(t.data, starts, lengths, before, np.zeros(len(n), np.int64), n, n).count(np.arange(len(n)), code, own)
+    own.flush()
+    assert (own.table.reshape(-1, 2) == wanted).all() and (own.pairs == pairs).all()
+
+
 def test_bit_counts_beyond_four_bytes():
     """A bit that stands more than 2^32 times is counted whole, and so are those beside it."""
     own, n = lm.BitCounts(), np.array([3_000_000_000, 2])
